@@ -13,6 +13,7 @@ An empty table gives an empty result. Columns other than the two named are ignor
 from __future__ import annotations
 
 import functools
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -44,12 +45,12 @@ class WordIds(dict):
 
     SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, tokenizer_file: str, dtype: str, most: int = 500_000):
+    def __init__(self, tokenizer_file: str, dtype: str, most: int = 600_000, most_runs: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.model = self.tokenizer.model
-        self.dtype, self.most = dtype, most
+        self.dtype, self.most, self.most_runs = dtype, most, most_runs
         self.letters = byte_letters()
         self.runs: dict[str, bytes] = {"": b""}
         self[""] = b""
@@ -60,7 +61,7 @@ class WordIds(dict):
         if out is None:
             text = run if run.isascii() else run.encode().decode("latin1").translate(self.letters)
             out = np.array([x.id for x in self.model.tokenize(text)], self.dtype).tobytes()
-            if len(self.runs) >= self.most:
+            if len(self.runs) >= self.most_runs:
                 self.runs.clear()
                 self.runs[""] = b""
             if len(run) <= 64:
@@ -88,7 +89,9 @@ class WordIds(dict):
 
 @functools.cache
 def word_ids(tokenizer_file: str, dtype: str) -> WordIds:
-    """One for each Python worker, kept from task to task."""
+    """One for each Python worker, kept from task to task. Its millions of strings hold no cycles: leave them out of collections."""
+    gc.freeze()
+    gc.set_threshold(200_000, 50, 1000)
     return WordIds(tokenizer_file, dtype)
 
 
