@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +50,56 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of an id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % n
+
+
+_BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = np.full(n, _BASE, np.uint64)
+    back = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    base[0] = back[0] = 1
+    return np.cumprod(base, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """splitmix64's finaliser over uint64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs without ASCII white space) of UTF-8 texts, all at once: their 64-bit hashes, the text each is in, their
+    first byte and the one after their last in the joined texts, and the joined texts as bytes (each followed by a space)."""
+    joined = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    if not len(joined):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), joined
+    up, down = _powers(1 << max(16, int(len(joined)).bit_length()))
+    gap = _SPACE[joined]
+    word = ~gap
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if word[0]:
+        edge = np.concatenate([[0], edge])
+    starts, ends = edge[0::2], edge[1::2]
+    sums = np.zeros(len(joined) + 1, np.uint64)
+    np.cumsum(_BYTE[joined] * up[: len(joined)], dtype=np.uint64, out=sums[1:])
+    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    sizes = np.cumsum([len(t) + 1 for t in texts])
+    return hashes, np.searchsorted(sizes, starts, side="right"), starts, ends, joined
+
+
+def slices(texts: list, most: int = 2_000_000) -> Iterator[slice]:
+    """Stretches of texts of about `most` characters in all, for work on many at once in bounded memory."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(t) + 1
+    if first < len(texts):
+        yield slice(first, len(texts))

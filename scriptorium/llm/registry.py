@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import decontamination, near_dedup, packing, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_packing": packing.op4_packing}
+    return {
+        "op2_secrets": secrets.op2_secrets,
+        "op3_quality": quality.op3_quality,
+        "op4_packing": packing.op4_packing,
+        "op5_near_dedup": near_dedup.op5_near_dedup,
+        "op8_decontamination": decontamination.op8_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
