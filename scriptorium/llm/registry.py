@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dedup, packing, quality, secrets
+from . import decontamination, html_text, near_dedup, packing, pii, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": html_text.op1_html_text,
         "op2_secrets": secrets.op2_secrets,
         "op3_quality": quality.op3_quality,
         "op4_packing": packing.op4_packing,
         "op5_near_dedup": near_dedup.op5_near_dedup,
+        "op6_pii": pii.op6_pii,
         "op8_decontamination": decontamination.op8_decontamination,
     }
 
