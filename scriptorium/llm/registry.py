@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, near_dedup, packing, pii, quality, secrets, topk
+from . import decontamination, html_text, language, near_dedup, packing, pii, quality, secrets, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": packing.op4_packing,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_pii": pii.op6_pii,
+        "op9_language": language.op9_language,
         "op10_topk": topk.op10_topk,
         "op8_decontamination": decontamination.op8_decontamination,
     }
