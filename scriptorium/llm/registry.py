@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, language, near_dedup, packing, pii, quality, secrets, topk
+from . import decontamination, html_text, language, lm, near_dedup, packing, pii, quality, secrets, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii": pii.op6_pii,
         "op9_language": language.op9_language,
         "op10_topk": topk.op10_topk,
+        "op7_lm": lm.op7_lm,
         "op8_decontamination": decontamination.op8_decontamination,
     }
 

@@ -171,19 +171,19 @@ def candidates(postings: DataFrame, queries: list[object], terms: list[str]) ->
     return masks.select("doc_id", rules.alias("rules")).where("rules != 0")
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs (doc_id, text, ...) with an array of the spans of all rules, and without null texts (they are empty)."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, column: str = "spans") -> DataFrame:
+    """docs (doc_id, text, ...) with an array of the spans of all rules in the named column, and without null texts (they are empty)."""
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     queries = [trigram_query(r.regex) for r in rules]
     terms = sorted(set().union(*(trigrams(q) for q in queries)))
-    found = candidates(posting_lists(docs, terms), queries, terms).withColumnRenamed("doc_id", "candidate_id")
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["candidate_id"]), "left")
+    found = candidates(posting_lists(docs, terms), queries, terms).select(F.col("doc_id").alias("__candidate"), F.col("rules").alias("__rules"))
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__candidate"]), "left")
     spans = []
     for i, (rule, query) in enumerate(zip(rules, queries, strict=True)):
         own = find_spans(F.col("text"), rule.regex, rule.kind, i, lambda hit, part, least=rule.least: F.length(part) >= least, rule.group)
-        on = F.col("text").rlike(rule.sieve or rule.regex) if query is True else F.col("rules").bitwiseAND(F.lit(1 << i)) != 0
+        on = F.col("text").rlike(rule.sieve or rule.regex) if query is True else F.col("__rules").bitwiseAND(F.lit(1 << i)) != 0
         spans.append(F.when(on, own).otherwise(no_spans()))
-    return joined.withColumn("spans", F.concat(*spans)).drop("candidate_id", "rules")
+    return joined.withColumn(column, F.concat(*spans)).drop("__candidate", "__rules")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_secrets(docs: DataFrame) -> DataFrame:
     """docs whose texts have each secret replaced by <kind>. Overlapping spans are one, named by the first. Null texts become
     empty; columns stay."""
-    found = scan(docs)
+    found = scan(docs, column="__spans")
     empty = F.struct(no_spans().alias("out"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit("").alias("kind"))
 
     def closed(done: Column) -> Column:
@@ -216,7 +216,7 @@ def without_secrets(docs: DataFrame) -> DataFrame:
             F.when(joins, done["kind"]).otherwise(s["kind"]).alias("kind"),
         )
 
-    merged = F.aggregate(F.array_sort("spans"), empty, merge, closed)
+    merged = F.aggregate(F.array_sort("__spans"), empty, merge, closed)
     # each piece is the text since the span before, then the mark; the text after the last span follows
     pieces = F.aggregate(
         merged,
@@ -228,4 +228,4 @@ def without_secrets(docs: DataFrame) -> DataFrame:
         ),
         lambda done: F.concat(F.array_join(done["out"], ""), F.substring(done["text"], done["at"] + 1, F.lit(2147483647))),
     )
-    return found.withColumn("text", F.when(F.size("spans") > 0, pieces).otherwise(F.col("text"))).drop("spans")
+    return found.withColumn("text", F.when(F.size("__spans") > 0, pieces).otherwise(F.col("text"))).drop("__spans")
