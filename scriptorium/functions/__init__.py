@@ -1 +1 @@
-
+"""Column functions: text analysis, cleaning, statistics."""

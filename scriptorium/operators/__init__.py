@@ -1 +1 @@
-
+"""Index, search, vectors, suggestions and expansion."""

@@ -1 +1 @@
-
+"""Streams of documents into an index."""
