@@ -31,7 +31,7 @@ class Engine:
         if not all(row[f] for f in ("id", "title", "abstract")):
             return {"doc_id": row["id"], "internal_id": None}
         self.index.add(self.spark.createDataFrame([row], DOCUMENT))
-        found = self.index.docs.where(self.index.docs["ext_id"] == row["id"]).select("doc_id").collect()
+        found = self.index.get(row["id"]).select("doc_id").collect()
         return {"doc_id": row["id"], "internal_id": found[0].doc_id if found else None}
 
     def bulk_add(self, path: str) -> tuple[int, DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of letters, digits and "_" of any script; Java's \W knows ASCII only.
 NON_WORD = r"[^\p{L}\p{N}_]+"
@@ -55,7 +56,7 @@ class Analyzer:
         return stem(low) if self.stem else low
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(terms: pd.Series) -> pd.Series:
     from .porter import stem
 

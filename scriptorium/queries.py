@@ -391,7 +391,7 @@ _add(
     lambda s, d: table(s, d, "pages").select("page_id", html_title(F.col("html")).alias("title")),
     "select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) as title from pages",
 )
-_add("html_metadata", lambda s, d: table(s, d, "pages").select("page_id", html_fields(F.col("html"), ("ad",)).alias("f")).select("page_id", F.col("f.ad").alias("ad")), "select page_id, trim(regexp_extract(html, '<div class=\"ad\">(.*?)</div>', 1)) as ad from pages")
+_add("html_metadata", lambda s, d: table(s, d, "pages").select("page_id", html_fields(F.col("html"), ("ad",)).alias("f")).select("page_id", F.col("f.ad").alias("ad")), "select page_id, trim(replace(regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1), chr(10), ' ')) as ad from pages")
 
 # appending
 
