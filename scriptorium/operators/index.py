@@ -141,23 +141,23 @@ class Index:
 
     def add(self, docs: DataFrame, id_column: str = "id") -> tuple[int, DataFrame]:
         """Appends documents; returns how many were new, and the others as (ext_id, reason). Ids that are there already stay as
-        they are; of equal ids in docs one row is kept, the least by its content; vectors of another length than the first
+        they are; of equal ids in docs the first row is kept; vectors of another length than the first
         are refused; null ids are refused."""
         commits = self.commits()
         fields = [c for c in docs.columns if c != id_column]
         staged_path = f"{self.root}/staging/{uuid.uuid4().hex}"
-        docs.select(F.col(id_column).cast("string").alias("ext_id"), *fields).write.parquet(staged_path)
+        docs.select(F.col(id_column).cast("string").alias("ext_id"), *fields, F.monotonically_increasing_id().alias("__at")).write.parquet(staged_path)
         staged = self.spark.read.parquet(staged_path)
         reason = F.when(F.col("ext_id").isNull(), F.lit("no id"))
         if self.dimension and "vector" in fields:
             reason = reason.when(F.col("vector").isNotNull() & (F.size("vector") > 0) & (F.size("vector") != self.dimension), F.lit("vector of wrong length"))
-        order = Window.partitionBy("ext_id").orderBy(F.xxhash64(*fields) if fields else F.lit(1))
+        order = Window.partitionBy("ext_id").orderBy("__at")
         marked = staged.withColumn("__n", F.row_number().over(order)).withColumn("__reason", reason.when(F.col("__n") > 1, F.lit("repeated in this batch")))
         if commits:
             known = self.docs.select("ext_id", F.lit(True).alias("__known"))
             marked = marked.join(known, "ext_id", "left").withColumn("__reason", F.coalesce("__reason", F.when(F.col("__known"), F.lit("already there")))).drop("__known")
         failures = marked.where("__reason is not null").select("ext_id", F.col("__reason").alias("reason"))
-        fresh = number_rows(marked.where("__reason is null").drop("__n", "__reason"), "ext_id", max((r.first_id + r.n_docs for r in commits), default=1))
+        fresh = number_rows(marked.where("__reason is null").drop("__n", "__reason", "__at"), "ext_id", max((r.first_id + r.n_docs for r in commits), default=1))
         first = max((r.first_id + r.n_docs for r in commits), default=1)
         batch = uuid.uuid4().hex
         fresh.select("doc_id", "ext_id", *fields).write.parquet(f"{self.root}/docs/{batch}")

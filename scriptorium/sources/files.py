@@ -49,14 +49,14 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str)
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(id, vector) of lines id,[v1,v2,...]; a line that is none is an error when it is read."""
     parts = F.split("value", ",", 2)
-    parsed = F.from_json(parts[1], "array<float>")
+    parsed = F.from_json(F.get(parts, F.lit(1)), "array<float>")
     ok = F.when(parsed.isNull(), F.raise_error(F.concat(F.lit("not a vector: "), F.substring("value", 1, 80)))).otherwise(parsed)
     return spark.read.text(path).where(F.trim("value") != "").select(parts[0].alias("id"), ok.alias("vector"))
 
 
 def read_numbered_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(id, vector) of such lines in file order, ids being the rows' numbers from 0."""
-    rows = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("at"), F.from_json(F.split("value", ",", 2)[1], "array<float>").alias("vector"))
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("at"), F.from_json(F.get(F.split("value", ",", 2), F.lit(1)), "array<float>").alias("vector"))
     part = F.shiftright("at", 33)
     counts = {r[0]: r[1] for r in rows.groupBy(part.alias("p")).count().collect()}  # one row a file split
     total, offsets = 0, []
