@@ -22,10 +22,11 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, slices
 
 WINDOW = 8
 LEAST_WORDS = 4  # of a window's tokens that are no placeholders; of a shorter item: half
@@ -175,18 +176,18 @@ class Index:
 HIT = "struct<item_id: long, windows: int, covered: int, item_tokens: int, changed_slots: int>"
 
 
-def contamination(text: Column, items: list[tuple[int, str]], window: int, least_tokens: int, least_share: float) -> Column:
-    """Array of the items found in each text."""
+def contamination(text: Column, items: Broadcast, window: int, least_tokens: int, least_share: float) -> Column:
+    """Array of the items, broadcast as (item_id, text), that are found in each text."""
     held: list[Index] = []
 
     @F.pandas_udf(f"array<{HIT}>")
     def found(texts: pd.Series) -> pd.Series:
         if not held:
-            held.append(Index(items, window))
+            held.append(Index(items.value, window))
         index, out = held[0], []
         texts = [t or "" for t in texts]
-        for i in range(0, len(texts), 500):
-            for hits in index.search(texts[i : i + 500]):
+        for part in slices(texts):
+            for hits in index.search(texts[part]):
                 out.append(
                     [
                         {"item_id": index.ids[k], "windows": good, "covered": covered, "item_tokens": len(index.kind[k]), "changed_slots": changed}
@@ -205,14 +206,13 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, column: str = "hit
     sized = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + total // (4 * block_windows)
-    out = docs
     parts = []
     for b in range(blocks):
         items = [(r[0], r[1]) for r in sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()]
         if items:
-            parts.append(contamination(F.col("text"), items, window, least_tokens, least_share))
+            parts.append(contamination(F.col("text"), docs.sparkSession.sparkContext.broadcast(items), window, least_tokens, least_share))
     empty = F.array().cast(f"array<{HIT}>")
-    return out.withColumn(column, F.concat(*parts) if len(parts) > 1 else parts[0] if parts else empty)
+    return docs.withColumn(column, F.concat(*parts) if len(parts) > 1 else parts[0] if parts else empty)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

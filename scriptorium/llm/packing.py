@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, shuffle_partitions
+from .common import cut, mix, read_table, shuffle_partitions
 
 DIMS, BITS, TIE_BITS = 3, 10, 24
 HASHED = 256
@@ -139,13 +139,6 @@ def curve_key(counts: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return hilbert_index(cell, BITS)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str = "<u2") -> DataFrame:
     """(doc_id, n, ids, pos_key) of docs (doc_id, text). Equal keys of copies are spread by a hash of doc_id below them."""
 
@@ -163,7 +156,8 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str = "<u
                 counts[i] = np.bincount(bucket[own & 0xFFFF], minlength=HASHED)
             key = curve_key(counts, matrix)
             own = np.array([0 if v is None else v for v in batch.column(0).to_pylist()], np.int64)
-            tie = (_mix(own.view(np.uint64)) >> np.uint64(64 - TIE_BITS)).astype(np.int64)
+            with np.errstate(over="ignore"):
+                tie = (mix(own.view(np.uint64)) >> np.uint64(64 - TIE_BITS)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(lengths), pa.array(ids, pa.binary()), pa.array((key << TIE_BITS) | tie)],
                 ["doc_id", "n", "ids", "pos_key"],

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read_table
+from .common import crc_mod, read_table, slices
 
 WORDS = 1 << 13
 BUCKETS = 24
@@ -170,9 +170,10 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch.iloc[i : i + 500]
-                words, n, stats = features([t or "" for t in part["text"]])
+            texts = [t or "" for t in batch["text"]]
+            for span in slices(texts):
+                part = batch.iloc[span]
+                words, n, stats = features(texts[span])
                 ends = np.cumsum(n)
                 yield pd.DataFrame(
                     {"doc_id": part["doc_id"], "quality": part["quality"], "words": [words[e - k : e].astype(np.int16).tobytes() for e, k in zip(ends, n, strict=True)], "stats": [x.astype(np.int16).tobytes() for x in stats]}
@@ -194,8 +195,8 @@ def quality_score(text: Column, model: tuple[float, np.ndarray, np.ndarray]) ->
     def score(texts: pd.Series) -> pd.Series:
         out = [np.zeros(0)]
         texts = [t or "" for t in texts]
-        for i in range(0, len(texts), 250):
-            z, _ = machine(w0, w, v, *features(texts[i : i + 250]))
+        for part in slices(texts, 1_000_000):
+            z, _ = machine(w0, w, v, *features(texts[part]))
             out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
         return pd.Series(np.concatenate(out))
 
