@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk": topk.ORACLE}
+    return {"op2_secrets": secrets.ORACLE, "op10_topk": topk.ORACLE}

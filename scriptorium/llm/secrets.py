@@ -197,6 +197,25 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _oracle() -> str:
+    """DuckDB SQL for op2_secrets: every rule over every text, positions from the pieces between matches."""
+    rules = []
+    for i, r in enumerate(RULES):
+        regex = "'" + r.regex.replace("'", "''") + "'"
+        rules.append(f"select doc_id, {i} as rank, '{r.kind}' as kind, {r.least} as least, regexp_split_to_array(text, {regex}) as gaps, regexp_extract_all(text, {regex}) as hits, regexp_extract_all(text, {regex}, {r.group}) as parts from t")
+    base = ", ".join(f"cast(count(*) filter (kind = '{r.kind}') as bigint) as n_{r.kind}" for r in BASE)
+    return f"""with t as (select doc_id, coalesce(text, '') as text from documents),
+k as ({" union all ".join(rules)}),
+e as (select doc_id, rank, kind, least, unnest(hits) as hit, unnest(parts) as part, unnest(gaps[1:len(hits)]) as gap, generate_subscripts(hits, 1) as i from k),
+p as (select *, sum(length(gap) + length(hit)) over (partition by doc_id, rank order by i) as stop from e),
+s as (select doc_id, rank, kind, stop - length(hit) as start, kind || ':' || cast(stop - length(hit) as bigint) || ':' || cast(stop as bigint) as span from p where length(part) >= least),
+g as (select doc_id, {base}, string_agg(span, ',' order by start, rank) filter (rank < {len(BASE)}) as base, string_agg(span, ',' order by start, rank) as spans from s group by doc_id)
+select t.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from t left join g on g.doc_id = t.doc_id"""
+
+
+ORACLE = _oracle()
+
+
 def without_secrets(docs: DataFrame) -> DataFrame:
     """docs whose texts have each secret replaced by <kind>. Overlapping spans are one, named by the first. Null texts become
     empty; columns stay."""

@@ -141,6 +141,14 @@ def test_secrets(spark):
     assert secrets.scan(edges(spark, [])).count() == 0
 
 
+def test_secrets_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.execute(secrets.ORACLE)
+    names = [d[0] for d in want.description]
+    assert sorted(tuple(r[n] for n in names) for r in secrets.op2_secrets(spark, SF).collect()) == sorted(want.fetchall())
+
+
 def test_trigram_queries():
     assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == ("and", frozenset({"aki", "kia"}))
     assert secrets.trigram_query(r"[0-9a-f]+") is True
