@@ -12,7 +12,7 @@ from .operators.expand import expand, expansions
 from .operators.index import Index
 from .operators.search import Searcher, SearchRequest, SearchResult
 from .operators.suggest import suggest, suggester
-from .sources.files import DOCUMENT, read_documents
+from .sources.files import DOCUMENT, read_documents, read_vectors, with_vectors
 
 
 class Engine:
@@ -34,10 +34,13 @@ class Engine:
         found = self.index.get(row["id"]).select("doc_id").collect()
         return {"doc_id": row["id"], "internal_id": found[0].doc_id if found else None}
 
-    def bulk_add(self, path: str) -> tuple[int, DataFrame, DataFrame]:
-        """Appends a file of documents: how many were new, documents refused (ext_id, reason), lines that are none (line, reason)."""
+    def bulk_add(self, path: str, vectors: str | None = None, max_docs: int = -1) -> tuple[int, DataFrame, DataFrame]:
+        """Appends a file of documents, with the vectors of another if given, max_docs of them if that is not negative: how many
+        were new, documents refused (ext_id, reason), lines that are none (line, reason)."""
         good, bad = read_documents(self.spark, path)
-        n, refused = self.index.add(good)
+        if vectors:
+            good = with_vectors(good, read_vectors(self.spark, vectors))
+        n, refused = self.index.add(good.limit(max_docs) if max_docs >= 0 else good)
         return n, refused, bad
 
     def flush(self) -> int:

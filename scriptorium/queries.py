@@ -14,6 +14,7 @@ from .functions.text import Analyzer
 from .operators import expand as expansion
 from .operators import vectors as knn
 from .operators.index import Index, postings_of, terms_of, tokens_of, value_postings
+from .operators.replay import frequent_ngrams, replay
 from .operators.search import Facet, Filter, Searcher, SearchRequest, facet_counts, page
 from .operators.suggest import suggest, suggester
 from .plans.compile import Compiler
@@ -285,8 +286,12 @@ def _chi(s: SparkSession, d: str) -> DataFrame:
 
 
 def _trigrams(s: SparkSession, d: str) -> DataFrame:
-    terms = table(s, d, "documents").select(F.filter(Analyzer().terms(F.col("text")), text.valid_term).alias("t"))
-    return terms.select(F.explode(text.ngrams(F.col("t"), 3)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("count")).where("count >= 10")
+    return frequent_ngrams(table(s, d, "documents"), "text")
+
+
+def _replay(s: SparkSession, d: str) -> DataFrame:
+    log = ["erst", "the AND of", "NOT the", '"of the"', "#3(of, to)", "erst haed"]
+    return replay(Searcher(corpus(s, d)), [(q, None) for q in log], max_results=3, fields=["lang"]).select("query", "hits")
 
 
 def _latency(s: SparkSession, d: str) -> DataFrame:
@@ -333,6 +338,17 @@ _add(
     "select round(max(value), 6) as max, round(min(value), 6) as min, round(quantile_cont(value, 0.5), 6) as median, round(avg(value), 6) as mean, round(count(value) / sum(1 / value), 6) as harmonic_mean, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, round(stddev_samp(value), 6) as stdev, cast(count(value) as bigint) as n from events where value > 0",
 )
 _add("slowest_n", lambda s, d: stats.slowest(table(s, d, "events").select("event_id", "value"), "value", "event_id", 10), "select event_id, value from events order by value desc, event_id limit 10")
+_add(
+    "query_log_replay",
+    _replay,
+    _prelude() + "select query, cast(hits as bigint) as hits from (select 'erst' as query, count(*) as hits from po where term = 'erst' "
+    "union all select 'the AND of', count(*) from po a join po b on a.doc_id = b.doc_id and b.term = 'of' where a.term = 'the' "
+    "union all select 'NOT the', count(*) from documents where doc_id not in (select doc_id from po where term = 'the') "
+    "union all select '\"of the\"', count(distinct a.doc_id) from tk a join tk b on a.doc_id = b.doc_id and b.pos = a.pos + 1 and b.term = 'the' where a.term = 'of' "
+    "union all select '#3(of, to)', count(distinct a.doc_id) from tk a join tk b on a.doc_id = b.doc_id and abs(a.pos - b.pos) <= 3 and b.term = 'to' where a.term = 'of' "
+    "union all select 'erst haed', count(distinct doc_id) from po where term in ('erst', 'haed'))",
+)
+_add("mean_by_kind", lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean")), "select event_type, round(avg(value), 6) as mean from events group by event_type")
 _add("failure_counts", lambda s, d: table(s, d, "events").agg(F.count_if(F.col("value") > 50).alias("failed"), F.count_if(F.col("value") <= 50).alias("done")), "select cast(count(*) filter (value > 50) as bigint) as failed, cast(count(*) filter (value <= 50) as bigint) as done from events")
 
 # cleaning

@@ -10,6 +10,7 @@ from scriptorium.engine import Engine
 from scriptorium.errors import ExpansionError, IndexStateError, QueryError, SuggestError
 from scriptorium.functions.text import Analyzer
 from scriptorium.operators.index import Index
+from scriptorium.operators.replay import frequent_ngrams, make_queries, replay
 from scriptorium.operators.search import Facet, Filter, Searcher, SearchRequest
 from scriptorium.operators.vectors import embed, nearest
 
@@ -199,3 +200,12 @@ def test_first_occurrence_and_term_counts(index):
     row = index.terms.where(F.col("term") == "alpha").first()
     assert row.df == len(brute(lambda t: "alpha" in t))
     assert row.cf == sum(tokens(r).count("alpha") for r in documents())
+
+
+def test_replay(spark, index):
+    grams = [r.ngram for r in frequent_ngrams(index.docs, "abstract", 2, 3).orderBy("ngram").collect()]
+    log = make_queries(grams, 12)
+    assert log == make_queries(grams, 12)
+    rows = replay(Searcher(index), [("alpha", len(brute(lambda t: "alpha" in t))), ("NOT alpha", 0), *((q, None) for q in log)]).collect()
+    assert [r.agrees for r in rows] == [True, False] + [True] * 12
+    assert len(rows) == 14 and all(r.seconds > 0 for r in rows)
