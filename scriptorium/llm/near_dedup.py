@@ -10,9 +10,10 @@ one of REGISTERS registers, which keeps the first element to arrive; a content's
 arrivals earlier than any that could follow. Two contents agree in a register with probability J_P. Registers are taken
 BAND_ROWS at a time: contents that agree in a whole band are in one bucket and are candidates.
 
-Candidates are verified against whole texts. In each bucket every member is compared with the least member; then, in
-buckets whose members are still in several classes, with several neighbours in random orders, round by round until a
-round finds nothing. So work grows with the number of bucket members, never with pairs in a bucket, and no bucket is
+Candidates are verified against whole texts. Every content is compared with the least leader (least member) of its buckets;
+then, in buckets whose members are still in several classes, every member of another class than its leader with that
+leader, and every member with several neighbours in random orders; and so again, in other orders, in the buckets with
+members that moved to other classes, while there are such (four rounds at most). So work grows with the number of bucket members, never with pairs in a bucket, and no bucket is
 capped. A pair at 0.8 exactly meets in some bucket with probability 1 - (1 - 0.8^4)^20 > 0.99997.
 
 Documents without words (null, empty, white space) have no shingles: each is a class of its own. Rows that share a doc_id
@@ -129,7 +130,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def contents_of(docs: DataFrame) -> DataFrame:
-    """(content, elements, counts) of docs (text): shingle hashes cut to 32 bits, sorted, as bytes."""
+    """(content, elements, counts) of docs (text): shingle hashes cut to 32 bits, sorted, as bytes; no counts stand for ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,25 +141,31 @@ def contents_of(docs: DataFrame) -> DataFrame:
                 edges = np.searchsorted(owner, np.arange(len(own) + 1))
                 short, count = (element >> np.uint64(32)).astype(np.uint32), count.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tobytes() for x in content], pa.binary())] + [pa.array([v[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary()) for v in (short, count)],
+                    [pa.array([x.tobytes() for x in content], pa.binary())] + [pa.array([short[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary()), pa.array([count[a:b].tobytes() if (count[a:b] > 1).any() else b"" for a, b in zip(edges, edges[1:], strict=False)], pa.binary())],
                     ["content", "elements", "counts"],
                 )
 
     return docs.select("text").mapInArrow(run, "content binary, elements binary, counts binary")
 
 
-def verified(pairs: DataFrame, contents: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of contents whose similarity is at least `least`."""
+def _multiset(elements: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    found = np.frombuffer(elements, np.uint32)
+    return found, np.frombuffer(counts, np.uint32) if counts else np.ones(len(found), np.uint32)
+
+
+def verified(pairs: DataFrame, contents: DataFrame, least: float, more: list[str] | None = None) -> DataFrame:
+    """Those of the pairs (a, b, and columns of binaries named in more) of contents whose similarity is at least `least`."""
+    names = ["a", "b", *(more or [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, *columns = (batch.column(i).to_pylist() for i in range(6))
-            keep = [similarity(*(np.frombuffer(v, np.uint32) for v in row)) >= least for row in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(x, keep, strict=True) if k], pa.binary()) for x in (a, b)], ["a", "b"])
+            columns = [batch.column(len(names) + i).to_pylist() for i in range(4)]
+            keep = pa.array([similarity(*_multiset(ea, ca), *_multiset(eb, cb)) >= least for ea, ca, eb, cb in zip(*columns, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(len(names))], names)
 
     left = contents.select(F.col("content").alias("a"), F.col("elements").alias("ea"), F.col("counts").alias("ca"))
     right = contents.select(F.col("content").alias("b"), F.col("elements").alias("eb"), F.col("counts").alias("cb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "ca", "eb", "cb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select(*names, "ea", "ca", "eb", "cb").mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
 
 def _print(edges: DataFrame, x: str, y: str) -> tuple:
@@ -180,6 +187,18 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
+def _neighbours(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of members of a bucket that are in different classes (ra, rb): groups of about SPREAD members, dealt by a
+    hash, in which each meets the next few in the order of another hash. Pairs with the leader come elsewhere."""
+    deal = F.pmod(F.xxhash64("content", F.lit(turn)), F.ceil(F.col("n") / SPREAD))
+    order = Window.partitionBy("bucket", "deal").orderBy(F.xxhash64("bucket", "content", F.lit(turn)), "content")
+    dealt = placed.where("content != leader and n > 2").withColumn("deal", deal)
+    ahead = F.array(*[F.struct(F.lead("content", i).over(order).alias("b"), F.lead("root", i).over(order).alias("r")) for i in range(1, NEIGHBOURS + 1)])
+    fresh = dealt.withColumn("ahead", ahead).select(F.col("content").alias("a"), "root", F.explode("ahead").alias("o")).where("o.b is not null and o.r != root")
+    swap = F.col("a") < F.col("o.b")
+    return fresh.select(F.when(swap, F.col("o.b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("o.b")).alias("b"), F.when(swap, F.col("o.r")).otherwise(F.col("root")).alias("ra"), F.when(swap, F.col("root")).otherwise(F.col("o.r")).alias("rb"))
+
+
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) for each row of docs (doc_id, text); class_id is the least doc_id of the class."""
     signed = cut(signatures(docs), "signatures")
@@ -188,29 +207,34 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     members = contents.select("content", "first_id", F.posexplode("bands").alias("band", "key")).select("content", "first_id", F.xxhash64("band", "key").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("content").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = cut(members.join(buckets, "bucket"), "members")
-    pairs = members.where("content != leader").select(F.col("content").alias("a"), F.col("leader").alias("b")).distinct()
     # the whole texts of the contents in any bucket with another; each content's text comes from the rows of its least doc_id
     wanted = members.select(F.col("first_id").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = contents_of(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text"))
     some = cut(some.groupBy("content").agg(F.first("elements").alias("elements"), F.first("counts").alias("counts")), "shingles")
-    edges = cut(verified(pairs, some, least), "links")
-    roots = components(edges)
+    # first each content meets the least leader of its buckets: that joins most of what belongs together, a pair a content
+    first = members.groupBy("content").agg(F.min("leader").alias("b")).where("b != content").select(F.col("content").alias("a"), "b")
+    roots = components(verified(first, some, least))
+    members = members.withColumn("was", F.lit(None).cast("binary"))
     for turn in range(MOST_ROUNDS):
         placed = members.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-        split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
-        # groups of about SPREAD members of a bucket, dealt by a hash; each member meets the next few in the order of another hash
-        deal = F.pmod(F.xxhash64("content", F.lit(turn)), F.ceil(F.col("n") / SPREAD))
-        order = Window.partitionBy("bucket", "deal").orderBy(F.xxhash64("bucket", "content", F.lit(turn)), "content")
-        dealt = placed.join(split, "bucket").withColumn("deal", deal)
-        ahead = F.array(*[F.struct(F.lead("content", i).over(order).alias("b"), F.lead("root", i).over(order).alias("r")) for i in range(1, NEIGHBOURS + 1)])
-        fresh = dealt.withColumn("ahead", ahead).select(F.col("content").alias("a"), "root", F.explode("ahead").alias("o")).where("o.b is not null and o.r != root")
-        fresh = fresh.select(F.greatest("a", "o.b").alias("a"), F.least("a", "o.b").alias("b")).distinct()
-        more = cut(verified(fresh, some, least), "links")
+        # the leader is the least content of its bucket; buckets whose members are all in one class need nothing more
+        split = placed.groupBy("bucket").agg(F.min_by("root", "content").alias("leader_root"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.col("root") != F.col("was")).alias("moved"))
+        split = split.where("r0 != r1" if turn == 0 else "r0 != r1 and moved").select("bucket", "leader_root")
+        placed = cut(placed.join(split, "bucket"), "members")
+        members = placed.select("content", "first_id", "bucket", "leader", "n", F.col("root").alias("was")).where("n > 2")
+        fresh = _neighbours(placed, turn)
+        if turn == 0:  # and the leaders of its other buckets
+            leaders = placed.where("root != leader_root").select(F.col("content").alias("a"), F.col("leader").alias("b"), F.col("root").alias("ra"), F.col("leader_root").alias("rb"))
+            fresh = fresh.unionByName(leaders)
+        fresh = fresh.groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"))
+        more = cut(verified(fresh, some, least, ["ra", "rb"]), "links")
         if more.isEmpty():
             break
-        edges = edges.union(more)
-        roots = components(edges)
+        # links between classes join classes: the components of those alone
+        over = components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("over"))
+        known = roots.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+        roots = cut(known.union(over.select(F.col("root").alias("node"), F.col("over").alias("root"))), "roots")
     classes = contents.select("content", "first_id").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     ids = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
     ids = classes.join(ids, "root").select("content", "class_id")
