@@ -26,8 +26,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -187,6 +188,31 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
+SIEVE_BITS = 1 << 26
+
+
+def _sieve_bit(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(SIEVE_BITS))
+
+
+def _sieve(wanted: DataFrame):
+    """A filter of bits that hold every wanted doc_id (and some others): 8 MB at most, however many ids there are. It keeps
+    the texts of other documents out of the shuffle of the join that follows."""
+    bit = _sieve_bit(F.col("doc_id"))
+    words = wanted.select(F.floor(bit / 64).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {SIEVE_BITS}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    rows = words.toPandas()
+    table = np.zeros(SIEVE_BITS // 64, np.int64)
+    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    shared = wanted.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def held(bit: pd.Series) -> pd.Series:
+        at = bit.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return held
+
+
 def _neighbours(placed: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of members of a bucket that are in different classes (ra, rb): groups of about SPREAD members, dealt by a
     hash, in which each meets the next few in the order of another hash. Pairs with the leader come elsewhere."""
@@ -210,6 +236,7 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     # the whole texts of the contents in any bucket with another; each content's text comes from the rows of its least doc_id
     wanted = members.select(F.col("first_id").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.where(_sieve(wanted)(_sieve_bit(F.col("doc_id"))))
     some = contents_of(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text"))
     some = cut(some.groupBy("content").agg(F.first("elements").alias("elements"), F.first("counts").alias("counts")), "shingles")
     # first each content meets the least leader of its buckets: that joins most of what belongs together, a pair a content
