@@ -47,7 +47,7 @@ MARK = np.array([0, _hash("<number>"), _hash("<unit>"), _hash("<name>"), 0], np.
 class Tokens(dict):
     """The row of each token in the arrays of hashes (of the lower-case token) and kinds. Bounded: it is emptied when full."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
         self.wipe()
 

@@ -45,7 +45,7 @@ class WordIds(dict):
 
     SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, tokenizer_file: str, dtype: str, most: int = 600_000, most_runs: int = 800_000):
+    def __init__(self, tokenizer_file: str, dtype: str, most: int = 300_000, most_runs: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)

@@ -50,7 +50,7 @@ class Hashed(dict):
         bare = word.rstrip("!#$%&*.,;:?|")
         h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & 0x3FFFFFFFFFFF
         out = h << 2 | (len(word) - len(bare) >= 2) << 1 | (len(bare) <= 2)
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         if len(word) <= 64:
             self[word] = out
