@@ -10,11 +10,13 @@ one of REGISTERS registers, which keeps the first element to arrive; a content's
 arrivals earlier than any that could follow. Two contents agree in a register with probability J_P. Registers are taken
 BAND_ROWS at a time: contents that agree in a whole band are in one bucket and are candidates.
 
-Candidates are verified against whole texts. Every content is compared with the least leader (least member) of its buckets;
-then, in buckets whose members are still in several classes, every member of another class than its leader with that
-leader, and every member with several neighbours in random orders; and so again, in other orders, in the buckets with
-members that moved to other classes, while there are such (four rounds at most). So work grows with the number of bucket members, never with pairs in a bucket, and no bucket is
-capped. A pair at 0.8 exactly meets in some bucket with probability 1 - (1 - 0.8^4)^20 > 0.99997.
+Candidates are verified against whole texts. Every content is compared with the least leader (least member) of its buckets.
+In buckets whose members are then still in several classes, a bucket of two is compared, and the members of all larger ones
+meet by shingles, however many they are: shingles are put in one order, rarest first. If a is the share of x that comes before
+the first shingle it has in common with y, and b that of y, J_P <= (1 - a)(1 - b) / (1 - a b). So contents in different classes
+that have a shingle in common for which that bound is at least 0.8 are compared, and no pair at 0.8 is left out. Work grows
+with such pairs: not with bucket members squared, unless that many are within the bound. No bucket is capped.
+A pair at 0.8 exactly meets in some bucket with probability 1 - (1 - 0.8^4)^20 > 0.99997.
 
 Documents without words (null, empty, white space) have no shingles: each is a class of its own. Rows that share a doc_id
 are all kept; rows with a null doc_id take part, and null is never a class id unless no row of the class has an id.
@@ -30,14 +32,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import cut, mix, read_table, slices, word_hashes
+from .common import cut, mix, read_table, shuffle_partitions, slices, word_hashes
 
 SHINGLE, BANDS, BAND_ROWS = 5, 20, 4
 REGISTERS = BANDS * BAND_ROWS
 SIMILARITY = 0.8
-NEIGHBOURS, SPREAD, MOST_ROUNDS = 3, 64, 4
+COMMON_BITS, COMMON_BLOCKS = 20, 256
 
 
 def shingles(texts: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,6 +105,18 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> fl
     return float(sum(n / (np.maximum(u / p, v / q).sum() + only_a / p + only_b / q) for (p, q), n in zip(pairs.T, times, strict=True)))
 
 
+ROWS_AT_ONCE = 512
+
+
+def _stretches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batch in parts with the texts of each, so that few of its texts are held as Python strings at once."""
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        rows = batch.slice(at, ROWS_AT_ONCE)
+        texts = [t or "" for t in rows.column(column).to_pylist()]
+        for part in slices(texts):
+            yield rows.slice(part.start, part.stop - part.start), texts[part]
+
+
 SIGNATURE = "doc_id long, content binary, bands array<long>"
 
 
@@ -112,9 +125,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in slices(texts):
-                own = texts[part]
+            for rows, own in _stretches(batch, 1):
                 owner, element, count, content = shingles(own)
                 kept = prob_minhash(owner, element, count, len(own))
                 bands = np.full((len(own), BANDS), 0, np.uint64)
@@ -125,7 +136,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 ids = [x.tobytes() if y else None for x, y in zip(content, some, strict=True)]
                 offsets = pa.array(np.arange(0, len(own) * BANDS + 1, BANDS), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part].cast(pa.int64()), pa.array(ids, pa.binary()), lists], ["doc_id", "content", "bands"])
+                yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), lists], ["doc_id", "content", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURE)
 
@@ -135,9 +146,7 @@ def contents_of(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for part in slices(texts):
-                own = texts[part]
+            for _, own in _stretches(batch, 0):
                 owner, element, count, content = shingles(own)
                 edges = np.searchsorted(owner, np.arange(len(own) + 1))
                 short, count = (element >> np.uint64(32)).astype(np.uint32), count.astype(np.uint32)
@@ -213,16 +222,75 @@ def _sieve(wanted: DataFrame):
     return held
 
 
-def _neighbours(placed: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of members of a bucket that are in different classes (ra, rb): groups of about SPREAD members, dealt by a
-    hash, in which each meets the next few in the order of another hash. Pairs with the leader come elsewhere."""
-    deal = F.pmod(F.xxhash64("content", F.lit(turn)), F.ceil(F.col("n") / SPREAD))
-    order = Window.partitionBy("bucket", "deal").orderBy(F.xxhash64("bucket", "content", F.lit(turn)), "content")
-    dealt = placed.where("content != leader and n > 2").withColumn("deal", deal)
-    ahead = F.array(*[F.struct(F.lead("content", i).over(order).alias("b"), F.lead("root", i).over(order).alias("r")) for i in range(1, NEIGHBOURS + 1)])
-    fresh = dealt.withColumn("ahead", ahead).select(F.col("content").alias("a"), "root", F.explode("ahead").alias("o")).where("o.b is not null and o.r != root")
-    swap = F.col("a") < F.col("o.b")
-    return fresh.select(F.when(swap, F.col("o.b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("o.b")).alias("b"), F.when(swap, F.col("o.r")).otherwise(F.col("root")).alias("ra"), F.when(swap, F.col("root")).otherwise(F.col("o.r")).alias("rb"))
+def _slot(elements: np.ndarray) -> np.ndarray:
+    return (mix(elements.astype(np.uint64)) >> np.uint64(64 - COMMON_BITS)).astype(np.int64)
+
+
+def _common(contents: DataFrame) -> np.ndarray:
+    """How many of contents (content, elements, counts) have each shingle, added up in slots. Any order of shingles gives the
+    same links; collisions only make rare ones look more common."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << COMMON_BITS, np.uint32)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                n[_slot(np.frombuffer(part, np.uint32))] += np.uint32(1)
+        blocks = n.reshape(COMMON_BLOCKS, -1)
+        some = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "n"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[block] = sums.get(block, np.uint32(0)) + np.frombuffer(n, np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "n"])
+
+    blocks = contents.select("elements").mapInArrow(slots, "block int, n binary").repartition(shuffle_partitions(contents.sparkSession), "block")
+    out = np.zeros((COMMON_BLOCKS, (1 << COMMON_BITS) // COMMON_BLOCKS), np.uint32)
+    for row in blocks.mapInArrow(added, "block int, n binary").toLocalIterator():
+        out[row["block"]] = np.frombuffer(row["n"], np.uint32)
+    return out.ravel()
+
+
+def _heads(contents: DataFrame, least: float) -> DataFrame:
+    """(element, before, content, root) of contents (content, root, elements, counts): the shingles that can be the first that
+    a content has in common with another at `least`, with the share of the content that comes before. Shingles of one content are left out."""
+    common = contents.sparkSession.sparkContext.broadcast(_common(contents))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found, shares = [], [], []
+            for i, (elements, counts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                own, weight = _multiset(elements, counts)
+                times = common.value[_slot(own)]
+                order = np.lexsort((own, times))
+                before = np.concatenate([[0.0], np.cumsum(weight[order], dtype=float)[:-1]]) / weight.sum(dtype=float)
+                on = np.flatnonzero((before <= 1 - least + 1e-9) & (times[order] > 1))
+                rows.append(np.full(len(on), i))
+                found.append(own[order[on]])
+                shares.append(before[on])
+            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            columns = [pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t)) for x, t in ((found, np.int64), (shares, float))]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(at), batch.column(1).take(at)], ["element", "before", "content", "root"])
+
+    return contents.select("content", "root", "elements", "counts").mapInArrow(run, "element long, before double, content binary, root binary")
+
+
+def _meeting(contents: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of contents (content, root, elements, counts) in different classes (ra, rb) that can be at `least`."""
+    heads = cut(_heads(contents, least), "heads")
+    # members of an element's largest class needn't meet each other
+    classes = heads.groupBy("element", "root").agg(F.count("*").alias("n")).groupBy("element").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("classes"))
+    heads = heads.join(classes.where("classes > 1"), "element").withColumn("largest", F.col("root") == F.col("most"))
+    # of a pair, the content with the lesser share before has (1 - least) / (1 + least) at most
+    x = heads.where(F.col("before") <= (1 - least) / (1 + least) + 1e-9).withColumn("largest", F.explode(F.when(F.col("largest"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    x = x.select("element", "largest", F.col("before").alias("bx"), F.col("content").alias("x"), F.col("root").alias("rx"))
+    y = heads.select("element", "largest", F.col("before").alias("by"), F.col("content").alias("y"), F.col("root").alias("ry"))
+    bound = f"rx != ry and (bx < by or bx = by and x > y) and (1 - bx) * (1 - by) >= {least - 1e-9} * (1 - bx * by)"
+    swap = F.col("x") < F.col("y")
+    pairs = x.join(y, ["element", "largest"]).where(bound)
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), F.when(swap, F.col("ry")).otherwise(F.col("rx")).alias("ra"), F.when(swap, F.col("rx")).otherwise(F.col("ry")).alias("rb"))
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -242,26 +310,19 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     # first each content meets the least leader of its buckets: that joins most of what belongs together, a pair a content
     first = members.groupBy("content").agg(F.min("leader").alias("b")).where("b != content").select(F.col("content").alias("a"), "b")
     roots = components(verified(first, some, least))
-    members = members.withColumn("was", F.lit(None).cast("binary"))
-    for turn in range(MOST_ROUNDS):
-        placed = members.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-        # the leader is the least content of its bucket; buckets whose members are all in one class need nothing more
-        split = placed.groupBy("bucket").agg(F.min_by("root", "content").alias("leader_root"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.col("root") != F.col("was")).alias("moved"))
-        split = split.where("r0 != r1" if turn == 0 else "r0 != r1 and moved").select("bucket", "leader_root")
-        placed = cut(placed.join(split, "bucket"), "members")
-        members = placed.select("content", "first_id", "bucket", "leader", "n", F.col("root").alias("was")).where("n > 2")
-        fresh = _neighbours(placed, turn)
-        if turn == 0:  # and the leaders of its other buckets
-            leaders = placed.where("root != leader_root").select(F.col("content").alias("a"), F.col("leader").alias("b"), F.col("root").alias("ra"), F.col("leader_root").alias("rb"))
-            fresh = fresh.unionByName(leaders)
-        fresh = fresh.groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"))
-        more = cut(verified(fresh, some, least, ["ra", "rb"]), "links")
-        if more.isEmpty():
-            break
-        # links between classes join classes: the components of those alone
-        over = components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("over"))
-        known = roots.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
-        roots = cut(known.union(over.select(F.col("root").alias("node"), F.col("over").alias("root"))), "roots")
+    placed = members.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    # buckets whose members are all in one class need nothing more
+    split = placed.groupBy("bucket").agg(F.min_by("root", "content").alias("leader_root"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    placed = cut(placed.join(split.where("r0 != r1").select("bucket", "leader_root"), "bucket"), "members")
+    two = placed.where("n = 2 and content != leader").select(F.col("content").alias("a"), F.col("leader").alias("b"), F.col("root").alias("ra"), F.col("leader_root").alias("rb"))
+    larger = placed.where("n > 2").select("content", "root").distinct()
+    fresh = two.unionByName(_meeting(cut(larger.join(some, "content"), "larger"), least))
+    fresh = fresh.groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"))
+    more = cut(verified(fresh, some, least, ["ra", "rb"]), "links")
+    # links between classes join classes: the components of those alone
+    over = components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("over"))
+    known = roots.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+    roots = cut(known.union(over.select(F.col("root").alias("node"), F.col("over").alias("root"))), "roots")
     classes = contents.select("content", "first_id").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     ids = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
     ids = classes.join(ids, "root").select("content", "class_id")
