@@ -462,6 +462,20 @@ def test_language_model_adds_up(spark):
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_language_model_features_and_steps(monkeypatch):
+    last = [lm.Model.features(*lm.tokens([t]))[2].tolist() for t in ("walking b c", "talking b c", "talked b c")]
+    assert len(set(map(tuple, last))) == 3
+    # what the endings of the token two before have in common is a feature
+    shared = [sum(x == y for x, y in zip(last[0], other, strict=True)) for other in last[1:]]
+    assert shared == [3, 2]
+    steps = []
+    monkeypatch.setattr(lm.Model, "_update", staticmethod(lambda *a: steps.append(len(a[2]))))
+    n = 3 * 8192
+    v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(lm.FREQUENT_CLASSES, np.int64), np.ones(lm.RARE_CLASSES, np.int64), 1, 1)
+    lm.Model(v).learn(np.zeros((n, 5), np.int64), np.full(n, -1), np.full(n, lm.FREQUENT_CLASSES), (np.zeros(lm.ROWS), np.zeros(lm.ROWS)))
+    assert steps == [8192] * 3
+
+
 def test_language_model_edges(spark):
     frame = edges(spark)
     counts = lm.token_counts(frame)
