@@ -8,8 +8,12 @@ question with other numbers or other names is caught as well.
 The benchmark side of the hash join is broadcast in blocks of at most `block_windows` windows (a proven bound), one pass
 over the documents for each block; a usual benchmark is one block.
 
-Null and empty texts have no windows. Items of fewer tokens than a window are one window of their own length; items
-without any word that is not a placeholder are never found, since every text would match. Repeated items and repeated
+Windows with few words that are no placeholders (of numbers, say) would match too much by their template alone: they count
+where a document has them literally. An item with such windows, of a window's tokens at least and with any word, is also one
+span from end to end, found by its template, so with other numbers or names.
+
+Null and empty texts have no windows. Items of fewer tokens than a window are one window of their own length, found literally
+if less than half of it is words; such short items without any word are never found, since every text would match. Repeated items and repeated
 documents are reported once for each row. Empty tables give empty results. A document is found for an item when the
 tokens in its consistent windows are at least `min(least_tokens, least_share * tokens of the item)`.
 """
@@ -19,6 +23,7 @@ from __future__ import annotations
 import functools
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,10 +31,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices
+from .common import mix, read_table, slices
 
 WINDOW = 8
-LEAST_WORDS = 4  # of a window's tokens that are no placeholders; of a shorter item: half
+LEAST_WORDS = 4  # of a window's tokens that are no placeholders; of a shorter item: half; with fewer, literally
 UNITS = "mm cm m km g kg mg lb lbs oz t l ml s sec ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years mph kmh ft inch inches mile miles meter meters metre metres gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons dollar dollars euro euros cent cents percent degree degrees watt watts volt volts".split()
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
 WORD, NUMBER, UNIT, NAME, STOP = range(5)
@@ -114,6 +119,18 @@ def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def span_hashes(tokens: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length, a hash of each so many tokens that follow one another; the work does not depend on the length."""
+    power = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        up = np.multiply.accumulate(np.full(len(tokens) + 1, power, np.uint64))
+        down = np.multiply.accumulate(np.full(len(tokens) + 1, pow(int(power), -1, 1 << 64), np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens) * up[:-1], dtype=np.uint64)])
+        for n in lengths:
+            count = max(0, len(tokens) - n + 1)
+            yield n, mix((sums[n : n + count] - sums[:count]) * down[:count])
+
+
 class Index:
     """The windows of some benchmark items, by their length and hash."""
 
@@ -123,14 +140,25 @@ class Index:
         edges = np.searchsorted(owner, np.arange(len(items) + 1))
         self.literal = [literal[a:b] for a, b in zip(edges, edges[1:], strict=False)]
         self.kind = [kind[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        self.places: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        # by what is hashed, and the length: windows of template tokens, windows of literal ones, spans of template ones
+        self.places: dict[tuple[str, int], dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for k in range(len(items)):
             own = tokens[edges[k] : edges[k + 1]]
             n = min(window, len(own))
+            if not n:
+                continue
             words = np.concatenate([[0], np.cumsum(self.kind[k] == WORD)])
-            for p, h in enumerate(window_hashes(own, n).tolist() if n else []):
-                if words[p + n] - words[p] >= (min(LEAST_WORDS, n) if n == window else (n + 1) // 2):
-                    self.places[n][h].append((k, p))
+            literally = dict(span_hashes(self.literal[k], [n]))[n].tolist()
+            few = False
+            for p, h in enumerate(window_hashes(own, n).tolist()):
+                some = words[p + n] - words[p]
+                if some >= (min(LEAST_WORDS, n) if n == window else (n + 1) // 2):
+                    self.places["template", n][h].append((k, p))
+                elif n == window or some:
+                    self.places["literal", n][literally[p]].append((k, p))
+                    few = True
+            if few and n == window and words[-1]:
+                self.places["span", len(own)][int(dict(span_hashes(own, [len(own)]))[len(own)][0])].append((k, 0))
         self.places = {n: dict(x) for n, x in self.places.items()}
         self.sieve = {}
         self.sorted = {}
@@ -141,24 +169,34 @@ class Index:
             sieve[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
             self.sieve[n], self.sorted[n] = (bits, sieve), keys
 
+    def _hashes(self, tokens: np.ndarray, literal: np.ndarray) -> Iterator[tuple[tuple[str, int], np.ndarray]]:
+        lengths = {what: sorted(n for x, n in self.sorted if x == what) for what in ("template", "literal", "span")}
+        for n in lengths["template"]:
+            yield ("template", n), window_hashes(tokens, n)
+        for what, own in (("literal", literal), ("span", tokens)):
+            if lengths[what]:
+                for n, hashes in span_hashes(own, lengths[what]):
+                    yield (what, n), hashes
+
     def search(self, texts: list[str]) -> list[dict[int, tuple[int, int, int]]]:
         """For each text: item -> (consistent windows, its tokens in them, slots filled differently)."""
         out: list[dict] = [{} for _ in texts]
         owner, tokens, literal, _ = template(texts)
         hits: dict[tuple[int, int], list] = defaultdict(list)
-        for n, keys in self.sorted.items():
-            hashes = window_hashes(tokens, n)
-            bits, sieve = self.sieve[n]
+        for which, hashes in self._hashes(tokens, literal):
+            n, keys = which[1], self.sorted[which]
+            bits, sieve = self.sieve[which]
             at = np.flatnonzero(sieve[(hashes >> np.uint64(64 - bits)).astype(np.int64)])
             at = at[owner[at] == owner[at + n - 1]]
             at = at[keys[np.searchsorted(keys, hashes[at]).clip(0, len(keys) - 1)] == hashes[at]]
             for a in at.tolist():
-                for k, p in self.places[n][int(hashes[a])]:
-                    hits[int(owner[a]), k].append((a - p, p, n))
+                for k, p in self.places[which][int(hashes[a])]:
+                    hits[int(owner[a]), k].append((which[0] != "template", a - p, p, n))
         for (doc, k), windows in hits.items():
             kind, covered, good, changed = self.kind[k], set(), 0, 0
             fillers: dict[int, tuple[dict, dict]] = {}
-            for shift, p, n in sorted(windows):
+            # the others come after windows of templates, so that their fillers don't shut those out
+            for _, shift, p, n in sorted(windows):
                 there, back = fillers.setdefault(shift, ({}, {}))
                 slots = [(int(kind[p + i]), int(self.literal[k][p + i]), int(literal[shift + p + i])) for i in range(n) if kind[p + i] != WORD]
                 new: dict = {}

@@ -529,6 +529,17 @@ def test_templates(spark):
     assert decontamination.with_contamination(edges(spark, []), items, "found").count() == 0
 
 
+def test_items_of_few_words():
+    items = ["What is 3 + 4 * 5 - 6 / 2 + 7?", "Solve 12 x 5 - 3 = 4 y 7 + 9 for 2 and 8.", "Which of Alice, Bob, Carol, Dave, Erin or Frank won?", "Is 3 + 4 = 7?", "1 2 3 4 5 6 7 8 9"]
+    index = decontamination.Index(list(enumerate(items)), decontamination.WINDOW)
+    found = index.search([f"some text before. {t} and after" for t in items])
+    assert all(k in x and x[k][1] == len(index.kind[k]) and x[k][2] == 0 for k, x in enumerate(found))
+    other = ["What is 13 + 14 * 15 - 16 / 12 + 17?", "Solve 22 x 25 - 23 = 24 y 27 + 29 for 20 and 28.", "Which of Gina, Hugo, Ivan, Jane, Karl or Lena won?"]
+    assert all(k in x and x[k][1] == len(index.kind[k]) and x[k][2] > 0 for k, x in enumerate(index.search(other)))
+    # slots of different values with one filler; few tokens, or no word, with other values
+    assert index.search(["What is 1 + 1 * 1 - 1 / 1 + 1?", "Is 5 + 6 = 11?", "11 12 13 14 15 16 17 18 19"]) == [{}, {}, {}]
+
+
 def test_contamination_of_documents(spark):
     docs, items = texts(spark), {r.item_id: r.text for r in table(spark, "benchmark").collect()}
     words = lambda t: re.findall(r"[^\W\d_]+|\d+", t.lower())
