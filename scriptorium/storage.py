@@ -1,12 +1,16 @@
-"""Where tables that queries make for themselves are kept."""
+"""Where tables that queries make for themselves are kept, and how they go."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where it is unset (tests, local mode), a temporary one."""
@@ -18,8 +22,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def new_table(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for a table that goes when the driver's process ends, or earlier by drop()."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = new_table(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of written(). Nothing may read them any more."""
+    for table in tables:
+        _delete(table._table, _made.pop(table._table))
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _leave() -> None:
+    for path, spark in _made.items():
+        with contextlib.suppress(Exception):  # a stopped session's tables stay
+            _delete(path, spark)
+    _made.clear()
