@@ -10,13 +10,16 @@ one of REGISTERS registers, which keeps the first element to arrive; a content's
 arrivals earlier than any that could follow. Two contents agree in a register with probability J_P. Registers are taken
 BAND_ROWS at a time: contents that agree in a whole band are in one bucket and are candidates.
 
-Candidates are verified against whole texts. Every content is compared with the least leader (least member) of its buckets.
-In buckets whose members are then still in several classes, a bucket of two is compared, and the members of all larger ones
-meet by shingles, however many they are: shingles are put in one order, rarest first. If a is the share of x that comes before
-the first shingle it has in common with y, and b that of y, J_P <= (1 - a)(1 - b) / (1 - a b). So contents in different classes
-that have a shingle in common for which that bound is at least 0.8 are compared, and no pair at 0.8 is left out. Work grows
-with such pairs: not with bucket members squared, unless that many are within the bound. No bucket is capped.
-A pair at 0.8 exactly meets in some bucket with probability 1 - (1 - 0.8^4)^20 > 0.99997.
+Candidates are verified against whole texts. In each bucket the most central member leads (that whose buckets are largest
+in all), and each content is first compared with the most central leader of its buckets. In buckets whose members are then
+still in several classes, a bucket of two is compared, and the members of all larger ones meet by shingles, however many
+they are: shingles are put in one order, rarest first. Let a and b be the shares of x and y that come before the first
+shingle they have in common. If x and y have all their shingles once, they share C = min((1 - a)|x|, (1 - b)|y|) at most,
+so J_P <= C / (|x| + |y| - C); otherwise J_P <= (1 - a)(1 - b) / (1 - a b). Contents in different classes that have a
+shingle in common for which that bound is at least 0.8 are compared, and no pair at 0.8 is left out. The first bound also
+limits the partner's size, by which the join is dealt: a copy that is too far from its leader, and holds nothing rare that
+another copy holds, meets none of them. Work grows with the pairs within the bound, not with bucket members squared.
+No bucket is capped. A pair at 0.8 exactly meets in some bucket with probability 1 - (1 - 0.8^4)^20 > 0.99997.
 
 Documents without words (null, empty, white space) have no shingles: each is a class of its own. Rows that share a doc_id
 are all kept; rows with a null doc_id take part, and null is never a class id unless no row of the class has an id.
@@ -33,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, read_table, shuffle_partitions, slices, word_hashes
+from ..storage import drop
+from .common import cut, mix, read_table, rows_a_batch, shuffle_partitions, slices, word_hashes
 
 SHINGLE, BANDS, BAND_ROWS = 5, 20, 4
 REGISTERS = BANDS * BAND_ROWS
@@ -106,6 +110,7 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> fl
 
 
 ROWS_AT_ONCE = 512
+TEXTS_A_BATCH, PAIRS_A_BATCH = 2000, 256
 
 
 def _stretches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -117,15 +122,15 @@ def _stretches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBa
             yield rows.slice(part.start, part.stop - part.start), texts[part]
 
 
-SIGNATURE = "doc_id long, content binary, bands array<long>"
+SIGNATURE = "doc_id long, text_hash long, content binary, bands array<long>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, bands) of docs (doc_id, text); content is null for documents without words."""
+    """(doc_id, text_hash, content, bands) of docs (doc_id, text); content is null for documents without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, own in _stretches(batch, 1):
+            for rows, own in _stretches(batch, 2):
                 owner, element, count, content = shingles(own)
                 kept = prob_minhash(owner, element, count, len(own))
                 bands = np.full((len(own), BANDS), 0, np.uint64)
@@ -136,22 +141,22 @@ def signatures(docs: DataFrame) -> DataFrame:
                 ids = [x.tobytes() if y else None for x, y in zip(content, some, strict=True)]
                 offsets = pa.array(np.arange(0, len(own) * BANDS + 1, BANDS), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), lists], ["doc_id", "content", "bands"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, pa.binary()), lists], ["doc_id", "text_hash", "content", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SIGNATURE)
 
 
 def contents_of(docs: DataFrame) -> DataFrame:
-    """(content, elements, counts) of docs (text): shingle hashes cut to 32 bits, sorted, as bytes; no counts stand for ones."""
+    """(content, elements, counts) of docs (text): shingle hashes, sorted, as bytes; no counts stand for ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, own in _stretches(batch, 0):
                 owner, element, count, content = shingles(own)
                 edges = np.searchsorted(owner, np.arange(len(own) + 1))
-                short, count = (element >> np.uint64(32)).astype(np.uint32), count.astype(np.uint32)
+                count = count.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tobytes() for x in content], pa.binary())] + [pa.array([short[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary()), pa.array([count[a:b].tobytes() if (count[a:b] > 1).any() else b"" for a, b in zip(edges, edges[1:], strict=False)], pa.binary())],
+                    [pa.array([x.tobytes() for x in content], pa.binary())] + [pa.array([element[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary()), pa.array([count[a:b].tobytes() if (count[a:b] > 1).any() else b"" for a, b in zip(edges, edges[1:], strict=False)], pa.binary())],
                     ["content", "elements", "counts"],
                 )
 
@@ -159,7 +164,7 @@ def contents_of(docs: DataFrame) -> DataFrame:
 
 
 def _multiset(elements: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    found = np.frombuffer(elements, np.uint32)
+    found = np.frombuffer(elements, np.uint64)
     return found, np.frombuffer(counts, np.uint32) if counts else np.ones(len(found), np.uint32)
 
 
@@ -186,7 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of edges (a, b), root being the least node joined with each; by alternating large and small stars."""
     now, before = cut(edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x != y").distinct(), "edges"), None
     while (mark := _print(now, "x", "y")) != before:
-        before = mark
+        before, last = mark, now
         both = now.select(F.col("x").alias("u"), F.col("y").alias("v")).union(now.select(F.col("y").alias("u"), F.col("x").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x != y").distinct()
@@ -194,6 +199,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x != y")
         now = cut(small.union(least.select("x", F.col("m").alias("y"))).distinct(), "stars")
+        drop(last, large)
     return now.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
@@ -223,7 +229,7 @@ def _sieve(wanted: DataFrame):
 
 
 def _slot(elements: np.ndarray) -> np.ndarray:
-    return (mix(elements.astype(np.uint64)) >> np.uint64(64 - COMMON_BITS)).astype(np.int64)
+    return (mix(elements) >> np.uint64(64 - COMMON_BITS)).astype(np.int64)
 
 
 def _common(contents: DataFrame) -> np.ndarray:
@@ -234,7 +240,7 @@ def _common(contents: DataFrame) -> np.ndarray:
         n = np.zeros(1 << COMMON_BITS, np.uint32)
         for batch in batches:
             for part in batch.column(0).to_pylist():
-                n[_slot(np.frombuffer(part, np.uint32))] += np.uint32(1)
+                n[_slot(np.frombuffer(part, np.uint64))] += np.uint32(1)
         blocks = n.reshape(COMMON_BLOCKS, -1)
         some = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "n"])
@@ -253,14 +259,19 @@ def _common(contents: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+GROWTH = 1.05  # of the sizes of one step; sizes within a step are told apart by the bound itself
+UNSIZED, ANY = -1, -2
+
+
 def _heads(contents: DataFrame, least: float) -> DataFrame:
-    """(element, before, content, root) of contents (content, root, elements, counts): the shingles that can be the first that
-    a content has in common with another at `least`, with the share of the content that comes before. Shingles of one content are left out."""
+    """(element, last, before, size, content, root) of contents (content, root, elements, counts): the shingles that can be the
+    first that a content has in common with another at `least`, the one before it in their order (0: none), and the share of
+    the content that comes before; size is null if a shingle is repeated. Shingles of one content are left out."""
     common = contents.sparkSession.sparkContext.broadcast(_common(contents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found, shares = [], [], []
+            rows, found, lasts, shares, sizes = [], [], [], [], []
             for i, (elements, counts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 own, weight = _multiset(elements, counts)
                 times = common.value[_slot(own)]
@@ -268,13 +279,20 @@ def _heads(contents: DataFrame, least: float) -> DataFrame:
                 before = np.concatenate([[0.0], np.cumsum(weight[order], dtype=float)[:-1]]) / weight.sum(dtype=float)
                 on = np.flatnonzero((before <= 1 - least + 1e-9) & (times[order] > 1))
                 rows.append(np.full(len(on), i))
-                found.append(own[order[on]])
+                found.append(own[order[on]].view(np.int64))
+                lasts.append(np.concatenate([[0], found[-1][:-1]])[: len(on)])
                 shares.append(before[on])
+                sizes.append(np.full(len(on), 0 if counts else len(own)))
             at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-            columns = [pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t)) for x, t in ((found, np.int64), (shares, float))]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(at), batch.column(1).take(at)], ["element", "before", "content", "root"])
+            element, last, before, size = (np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in ((found, np.int64), (lasts, np.int64), (shares, float), (sizes, np.int64)))
+            columns = [pa.array(element), pa.array(last), pa.array(before), pa.array(size, mask=size == 0)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(at), batch.column(1).take(at)], ["element", "last", "before", "size", "content", "root"])
+
+    return contents.select("content", "root", "elements", "counts").mapInArrow(run, "element long, last long, before double, size long, content binary, root binary")
 
-    return contents.select("content", "root", "elements", "counts").mapInArrow(run, "element long, before double, content binary, root binary")
+
+def _step(size: Column) -> Column:
+    return F.floor(F.log(size) / F.lit(float(np.log(GROWTH)))).cast("int")
 
 
 def _meeting(contents: DataFrame, least: float) -> DataFrame:
@@ -283,57 +301,88 @@ def _meeting(contents: DataFrame, least: float) -> DataFrame:
     # members of an element's largest class needn't meet each other
     classes = heads.groupBy("element", "root").agg(F.count("*").alias("n")).groupBy("element").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("classes"))
     heads = heads.join(classes.where("classes > 1"), "element").withColumn("largest", F.col("root") == F.col("most"))
-    # of a pair, the content with the lesser share before has (1 - least) / (1 + least) at most
+    # of a pair, the content with the lesser share before has (1 - least) / (1 + least) at most; it goes by its own size
     x = heads.where(F.col("before") <= (1 - least) / (1 + least) + 1e-9).withColumn("largest", F.explode(F.when(F.col("largest"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
-    x = x.select("element", "largest", F.col("before").alias("bx"), F.col("content").alias("x"), F.col("root").alias("rx"))
-    y = heads.select("element", "largest", F.col("before").alias("by"), F.col("content").alias("y"), F.col("root").alias("ry"))
-    bound = f"rx != ry and (bx < by or bx = by and x > y) and (1 - bx) * (1 - by) >= {least - 1e-9} * (1 - bx * by)"
+    x = x.withColumn("step", F.explode(F.array(F.coalesce(_step(F.col("size")), F.lit(UNSIZED)), F.lit(ANY))))
+    x = x.select("element", "largest", "step", F.col("last").alias("lx"), F.col("before").alias("bx"), F.col("size").alias("sx"), F.col("content").alias("x"), F.col("root").alias("rx"))
+    # and the other to all sizes within the bound
+    smallest, greatest = F.col("size") * least, F.col("size") * ((1 - F.col("before")) * (1 + least) / least - 1)
+    sizes = F.when(greatest * (1 + 1e-9) < smallest, F.array(F.lit(UNSIZED))).otherwise(F.concat(F.sequence(_step(smallest * (1 - 1e-9)), _step(greatest * (1 + 1e-9))), F.array(F.lit(UNSIZED))))
+    y = heads.withColumn("step", F.explode(F.when(F.col("size").isNull(), F.array(F.lit(ANY))).otherwise(sizes)))
+    y = y.select("element", "largest", "step", F.col("last").alias("ly"), F.col("before").alias("by"), F.col("size").alias("sy"), F.col("content").alias("y"), F.col("root").alias("ry"))
+    once = f"least((1 - bx) * sx, (1 - by) * sy) * {1 + least} >= {least} * (sx + sy) - 1e-6"
+    bound = f"rx != ry and (bx < by or bx = by and x > y) and case when sx is null or sy is null then (1 - bx) * (1 - by) >= {least - 1e-9} * (1 - bx * by) else {once} end"
+    # contents with the same shingle before this one have met there
+    pairs = x.join(y, ["element", "largest", "step"]).where(f"{bound} and (lx != ly or lx = 0)")
     swap = F.col("x") < F.col("y")
-    pairs = x.join(y, ["element", "largest"]).where(bound)
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), F.when(swap, F.col("ry")).otherwise(F.col("rx")).alias("ra"), F.when(swap, F.col("rx")).otherwise(F.col("ry")).alias("rb"))
+    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), F.when(swap, F.col("ry")).otherwise(F.col("rx")).alias("ra"), F.when(swap, F.col("rx")).otherwise(F.col("ry")).alias("rb"))
+    return pairs.groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"))
 
 
-def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id) for each row of docs (doc_id, text); class_id is the least doc_id of the class."""
-    signed = cut(signatures(docs), "signatures")
+def _classes(docs: DataFrame, least: float) -> DataFrame:
+    """(doc_id, text_hash, content, class_id) for each row of docs (doc_id, text)."""
+    spark = docs.sparkSession
+    with rows_a_batch(spark, TEXTS_A_BATCH):
+        signed = cut(signatures(docs), "signatures")
     contents = signed.where("content is not null").groupBy("content").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
     contents = cut(contents, "contents")
-    members = contents.select("content", "first_id", F.posexplode("bands").alias("band", "key")).select("content", "first_id", F.xxhash64("band", "key").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("content").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(buckets, "bucket"), "members")
+    members = contents.select("content", F.posexplode("bands").alias("band", "key")).select("content", F.xxhash64("band", "key").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(members.join(shared, "bucket"), "members")
+    # the more contents share a content's buckets, the more central it is
+    central = members.groupBy("content").agg(F.sum("n").alias("central"))
+    ranked = members.join(central, "content").select("bucket", F.struct("central", "content").alias("rank"))
+    leaders = cut(ranked.groupBy("bucket").agg(F.max("rank").alias("leader")), "leaders")
+    first = members.join(leaders, "bucket").groupBy("content").agg(F.max("leader").alias("leader")).select("content", F.col("leader.content").alias("b"))
+    first = cut(contents.select("content", "first_id").join(first, "content"), "first")
     # the whole texts of the contents in any bucket with another; each content's text comes from the rows of its least doc_id
-    wanted = members.select(F.col("first_id").alias("doc_id")).distinct()
+    wanted = first.select(F.col("first_id").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.where(_sieve(wanted)(_sieve_bit(F.col("doc_id"))))
-    some = contents_of(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text"))
-    some = cut(some.groupBy("content").agg(F.first("elements").alias("elements"), F.first("counts").alias("counts")), "shingles")
-    # first each content meets the least leader of its buckets: that joins most of what belongs together, a pair a content
-    first = members.groupBy("content").agg(F.min("leader").alias("b")).where("b != content").select(F.col("content").alias("a"), "b")
-    roots = components(verified(first, some, least))
+    with rows_a_batch(spark, TEXTS_A_BATCH):
+        some = contents_of(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text"))
+        some = cut(some.groupBy("content").agg(F.first("elements").alias("elements"), F.first("counts").alias("counts")), "shingles")
+    # first each content meets one leader: that joins most of what belongs together, a pair a content
+    with rows_a_batch(spark, PAIRS_A_BATCH):
+        roots = components(verified(first.where("b != content").select(F.col("content").alias("a"), "b"), some, least))
     placed = members.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     # buckets whose members are all in one class need nothing more
-    split = placed.groupBy("bucket").agg(F.min_by("root", "content").alias("leader_root"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    placed = cut(placed.join(split.where("r0 != r1").select("bucket", "leader_root"), "bucket"), "members")
-    two = placed.where("n = 2 and content != leader").select(F.col("content").alias("a"), F.col("leader").alias("b"), F.col("root").alias("ra"), F.col("leader_root").alias("rb"))
-    larger = placed.where("n > 2").select("content", "root").distinct()
-    fresh = two.unionByName(_meeting(cut(larger.join(some, "content"), "larger"), least))
-    fresh = fresh.groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"))
-    more = cut(verified(fresh, some, least, ["ra", "rb"]), "links")
+    split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("content", "root")).alias("c0"), F.max(F.struct("content", "root")).alias("c1"), F.max("n").alias("n")).where("r0 != r1")
+    split = cut(split, "split")
+    two = split.where("n = 2").select(F.col("c1.content").alias("a"), F.col("c0.content").alias("b"), F.col("c1.root").alias("ra"), F.col("c0.root").alias("rb"))
+    larger = placed.join(split.where("n > 2").select("bucket"), "bucket").select("content", "root").distinct()
+    with rows_a_batch(spark, PAIRS_A_BATCH):
+        larger = cut(larger.join(some, "content"), "larger")
+        fresh = two.unionByName(_meeting(larger, least)).groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"))
+        more = cut(verified(fresh, some, least, ["ra", "rb"]), "links")
+    drop(larger, some, members, leaders, first, split)
     # links between classes join classes: the components of those alone
     over = components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("over"))
     known = roots.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
     roots = cut(known.union(over.select(F.col("root").alias("node"), F.col("over").alias("root"))), "roots")
     classes = contents.select("content", "first_id").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     ids = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    ids = classes.join(ids, "root").select("content", "class_id")
-    return signed.select("doc_id", "content").join(ids, "content", "left").select("doc_id", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    ids = classes.join(ids, "root").select("content", "root", "class_id")
+    return signed.select("doc_id", "text_hash", "content").join(ids, "content", "left").withColumn("class_id", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
+
+
+def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id) for each row of docs (doc_id, text); class_id is the least doc_id of the class."""
+    return _classes(docs, least).select("doc_id", "class_id")
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class: that of its least doc_id, or of equal ones any; rows without words or id stay."""
-    classes = near_duplicate_classes(docs, least)
-    gone = classes.where("doc_id != class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs with one row of each class: that of its least doc_id (rows without one come last), of several texts with that id
+    one, and of equal rows one. Rows without words all stay."""
+    rows = _classes(docs, least).where("content is not null").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
+    best = rows.groupBy("root").agg(F.min(rank).alias("best"))
+    # what happens to the rows of an id and text, unless it's one row that stays
+    fate = rows.join(best, "root").withColumn("stays", rank == F.col("best")).where("not stays or n > 1")
+    fate = fate.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("stays").alias("__stays"))
+    met = docs.withColumn("__own", F.xxhash64("text")).join(fate, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
+    alone = met.where("__stays is null").select(*docs.columns)
+    return alone.unionByName(met.where("__stays").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -419,6 +419,35 @@ def test_near_duplicates_share_a_passage(spark):
     assert found == {i: i // 2 * 2 for i in range(1000)}
 
 
+def test_near_duplicates_of_a_large_group(spark):
+    """400 copies of one text, each with edits of its own: many are too far from the most central one, and some of those
+    are within 0.8 of another. Some copies repeat a line, so that they have shingles more than once."""
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 8])):
+            words[rng.randrange(150)] = f"e{rng.randrange(1000)}" if i % 3 else f"u{i}"
+        if i % 50 == 0:
+            words += base[:20]
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join([*rows[i][1].split()[:-2], f"v{i}", f"v{i + 1}"])) for i in range(0, 400, 7)]
+    found = near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = plain_classes(rows)
+    assert len({c for _, c in want}) > 50
+    assert sorted((r.doc_id, r.class_id) for r in found) == sorted(want)
+
+
+def test_one_of_each_goes_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, c), (None, "only this"), (None, "only this"), (8, None), (8, None), (9, " ")]
+    kept = near_dedup.one_of_each(edges(spark, rows))
+    assert kept.columns == edges(spark, rows).columns
+    want = [(1, a), (5, b), (7, c), (None, "only this"), (8, None), (8, None), (9, " ")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert near_dedup.one_of_each(edges(spark, [])).count() == 0
+
+
 def test_components(spark):
     node = lambda i: bytes([i])
     pairs = [(node(i), node(i + 1)) for i in range(20)] + [(node(40), node(50)), (node(50), node(41)), (node(60), node(60))]
