@@ -501,19 +501,44 @@ def test_language_model_adds_up(spark):
 
 
 def test_language_model_features_and_steps(monkeypatch):
-    last = [lm.Model.features(*lm.tokens([t]))[2].tolist() for t in ("walking b c", "talking b c", "talked b c")]
+    v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(lm.FREQUENT_CLASSES, np.int64), np.ones(lm.RARE_CLASSES, np.int64), 1, 1)
+    model = lm.Model(v)
+    last = [model.features(*lm.tokens([t]))[2].tolist() for t in ("walking b c", "talking b c", "talked b c")]
     assert len(set(map(tuple, last))) == 3
     # what the endings of the token two before have in common is a feature
     shared = [sum(x == y for x, y in zip(last[0], other, strict=True)) for other in last[1:]]
     assert shared == [3, 2]
     steps = []
-    monkeypatch.setattr(lm.Model, "_update", staticmethod(lambda *a: steps.append(len(a[2]))))
+    monkeypatch.setattr(lm.Model, "_update", lambda self, *a: steps.append(len(a[2])))
     n = 3 * 8192
-    v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(lm.FREQUENT_CLASSES, np.int64), np.ones(lm.RARE_CLASSES, np.int64), 1, 1)
-    lm.Model(v).learn(np.zeros((n, 5), np.int64), np.full(n, -1), np.full(n, lm.FREQUENT_CLASSES), (np.zeros(lm.ROWS), np.zeros(lm.ROWS)))
+    model.learn(np.zeros((n, 5), np.int64), np.full(n, -1), np.full(n, lm.FREQUENT_CLASSES), (np.zeros(model.rows), np.zeros(model.rows)))
     assert steps == [8192] * 3
 
 
+def test_one_step_is_the_plain_gradient_step():
+    v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(lm.FREQUENT_CLASSES, np.int64), np.ones(lm.RARE_CLASSES, np.int64), 1, 1)
+    model, rng = lm.Model(v), np.random.default_rng(1)
+    rows, error = rng.integers(0, 50, (300, 5)), rng.normal(size=(300, 64)).astype(np.float32)
+    table, squares = rng.normal(size=(model.rows, 64)).astype(np.float32), np.zeros(model.rows, np.float32)
+    sums = np.zeros(table.shape)
+    for r, e in zip(rows, error, strict=True):
+        for i in r:
+            sums[i] += e
+    want = table - 0.1 * sums / np.sqrt((sums**2).mean(1, keepdims=True) + 1e-6)
+    model._update(table, squares, rows, error, 0.1)
+    assert np.allclose(table, want, atol=1e-4)
+
+
+def test_the_model_does_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TOKENS_A_LEARNER", 20_000)
+    docs, scores = table(spark, "documents").select("doc_id", "text"), []
+    for n in (1, 16):
+        own = docs.repartition(n, "doc_id")
+        counts = lm.token_counts(own)
+        scores.append({r.doc_id: r.score for r in lm.scored(own, counts, lm.train(own, counts)).collect()})
+    assert scores[0] == pytest.approx(scores[1], rel=1e-3)
+
+
 def test_language_model_edges(spark):
     frame = edges(spark)
     counts = lm.token_counts(frame)
