@@ -34,8 +34,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = decontamination.with_contamination(docs, read_table(spark, sf_dir, "benchmark"), "__hits")
-    return marked.where(F.size("__hits") == 0).drop("__hits")
+    return decontamination.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

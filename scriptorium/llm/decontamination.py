@@ -5,8 +5,10 @@ tokens of the benchmark are hash-joined with those of the documents. Where a win
 values in the same places (equal slots have equal fillers, different slots different ones), the window counts, so a
 question with other numbers or other names is caught as well.
 
-The benchmark side of the hash join is broadcast in blocks of at most `block_windows` windows (a proven bound), one pass
-over the documents for each block; a usual benchmark is one block.
+Spark joins the windows by their hashes: the benchmark's (hash, item, place, fillers) with those of distinct texts. A sieve of
+bits (SIEVE_MOST of them at most, however large the benchmark) keeps windows that no item has from being written; beyond
+some millions of windows it lets more through, which the join then drops. Nothing else of the benchmark is broadcast or sent
+to the driver but the distinct lengths of its short and its wordless windows.
 
 Windows with few words that are no placeholders (of numbers, say) would match too much by their template alone: they count
 where a document has them literally. An item with such windows, of a window's tokens at least and with any word, is also one
@@ -15,28 +17,31 @@ span from end to end, found by its template, so with other numbers or names.
 Null and empty texts have no windows. Items of fewer tokens than a window are one window of their own length, found literally
 if less than half of it is words; such short items without any word are never found, since every text would match. Repeated items and repeated
 documents are reported once for each row. Empty tables give empty results. A document is found for an item when the
-tokens in its consistent windows are at least `min(least_tokens, least_share * tokens of the item)`.
+tokens in its consistent windows are at least `min(least_tokens, least_share * tokens of the item)`. In scripts written
+without spaces (Chinese, Japanese, Thai and the like) each character is a word.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, read_table, slices
+from .common import cut, mix, read_table, slices
 
 WINDOW = 8
+ROWS_AT_ONCE = 512
 LEAST_WORDS = 4  # of a window's tokens that are no placeholders; of a shorter item: half; with fewer, literally
 UNITS = "mm cm m km g kg mg lb lbs oz t l ml s sec ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years mph kmh ft inch inches mile miles meter meters metre metres gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons dollar dollars euro euros cent cents percent degree degrees watt watts volt volts".split()
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
+#: Scripts without spaces: Thai to Khmer, kana, Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|(?![{UNSPACED}])(?:[^\W\d_{UNSPACED}])+|(?=[^\W\d_])[{UNSPACED}]|[.!?:\n]")
+SIEVE_MOST = 1 << 27
 WORD, NUMBER, UNIT, NAME, STOP = range(5)
 
 
@@ -131,130 +136,174 @@ def span_hashes(tokens: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, n
             yield n, mix((sums[n : n + count] - sums[:count]) * down[:count])
 
 
-class Index:
-    """The windows of some benchmark items, by their length and hash."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int):
-        owner, tokens, literal, kind = template([t for _, t in items])
-        self.ids = [i for i, _ in items]
-        edges = np.searchsorted(owner, np.arange(len(items) + 1))
-        self.literal = [literal[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        self.kind = [kind[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        # by what is hashed, and the length: windows of template tokens, windows of literal ones, spans of template ones
-        self.places: dict[tuple[str, int], dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for k in range(len(items)):
-            own = tokens[edges[k] : edges[k + 1]]
-            n = min(window, len(own))
-            if not n:
-                continue
-            words = np.concatenate([[0], np.cumsum(self.kind[k] == WORD)])
-            literally = dict(span_hashes(self.literal[k], [n]))[n].tolist()
-            few = False
-            for p, h in enumerate(window_hashes(own, n).tolist()):
-                some = words[p + n] - words[p]
-                if some >= (min(LEAST_WORDS, n) if n == window else (n + 1) // 2):
-                    self.places["template", n][h].append((k, p))
-                elif n == window or some:
-                    self.places["literal", n][literally[p]].append((k, p))
-                    few = True
-            if few and n == window and words[-1]:
-                self.places["span", len(own)][int(dict(span_hashes(own, [len(own)]))[len(own)][0])].append((k, 0))
-        self.places = {n: dict(x) for n, x in self.places.items()}
-        self.sieve = {}
-        self.sorted = {}
-        for n, x in self.places.items():
-            keys = np.array(sorted(x), np.uint64)
-            bits = max(16, int(len(keys)).bit_length() + 5)
-            sieve = np.zeros(1 << bits, bool)
-            sieve[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.sieve[n], self.sorted[n] = (bits, sieve), keys
-
-    def _hashes(self, tokens: np.ndarray, literal: np.ndarray) -> Iterator[tuple[tuple[str, int], np.ndarray]]:
-        lengths = {what: sorted(n for x, n in self.sorted if x == what) for what in ("template", "literal", "span")}
-        for n in lengths["template"]:
-            yield ("template", n), window_hashes(tokens, n)
-        for what, own in (("literal", literal), ("span", tokens)):
-            if lengths[what]:
-                for n, hashes in span_hashes(own, lengths[what]):
-                    yield (what, n), hashes
-
-    def search(self, texts: list[str]) -> list[dict[int, tuple[int, int, int]]]:
-        """For each text: item -> (consistent windows, its tokens in them, slots filled differently)."""
-        out: list[dict] = [{} for _ in texts]
-        owner, tokens, literal, _ = template(texts)
-        hits: dict[tuple[int, int], list] = defaultdict(list)
-        for which, hashes in self._hashes(tokens, literal):
-            n, keys = which[1], self.sorted[which]
-            bits, sieve = self.sieve[which]
-            at = np.flatnonzero(sieve[(hashes >> np.uint64(64 - bits)).astype(np.int64)])
-            at = at[owner[at] == owner[at + n - 1]]
-            at = at[keys[np.searchsorted(keys, hashes[at]).clip(0, len(keys) - 1)] == hashes[at]]
-            for a in at.tolist():
-                for k, p in self.places[which][int(hashes[a])]:
-                    hits[int(owner[a]), k].append((which[0] != "template", a - p, p, n))
-        for (doc, k), windows in hits.items():
-            kind, covered, good, changed = self.kind[k], set(), 0, 0
-            fillers: dict[int, tuple[dict, dict]] = {}
-            # the others come after windows of templates, so that their fillers don't shut those out
-            for _, shift, p, n in sorted(windows):
-                there, back = fillers.setdefault(shift, ({}, {}))
-                slots = [(int(kind[p + i]), int(self.literal[k][p + i]), int(literal[shift + p + i])) for i in range(n) if kind[p + i] != WORD]
-                new: dict = {}
-                if all(there.get((t, x), new.setdefault((t, x), y)) == y for t, x, y in slots) and all(back.get((t, y), x) == x for t, x, y in slots) and len(set(new.values())) == len({*new}):
-                    there.update(new)
-                    back.update({(t, y): x for (t, x), y in new.items()})
-                    good += 1
-                    covered.update(range(p, p + n))
-                    changed += sum(x != y for _, x, y in slots)
-            if good:
-                out[doc][k] = (good, len(covered), changed)
-        return out
+TEMPLATE, LITERAL, SPAN = range(3)
 
 
-HIT = "struct<item_id: long, windows: int, covered: int, item_tokens: int, changed_slots: int>"
+def _key(what: int, n: int, hashes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(hashes + np.uint64(3 * n + what) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def item_windows(texts: list[str], window: int = WINDOW) -> list[tuple]:
+    """(text, what, n, key, place, kinds, literals, tokens of the text) of the windows of some items."""
+    owner, tokens, literal, kind = template(texts)
+    edges = np.searchsorted(owner, np.arange(len(texts) + 1))
+    out = []
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        own, values, kinds = tokens[a:b], literal[a:b], kind[a:b]
+        n = min(window, len(own))
+        if not n:
+            continue
+        words = np.concatenate([[0], np.cumsum(kinds == WORD)])
+        some = words[n:] - words[:-n]
+        enough = some >= (min(LEAST_WORDS, n) if n == window else (n + 1) // 2)
+        literally = ~enough & ((n == window) | (some > 0))
+        keys = {TEMPLATE: _key(TEMPLATE, n, window_hashes(own, n)), LITERAL: _key(LITERAL, n, dict(span_hashes(values, [n]))[n])}
+        for what, on in ((TEMPLATE, enough), (LITERAL, literally)):
+            out += [(k, what, n, keys[what][p], p, kinds[p : p + n].astype(np.int8).tobytes(), values[p : p + n].tobytes(), len(own)) for p in np.flatnonzero(on).tolist()]
+        if literally.any() and n == window and words[-1]:
+            out.append((k, SPAN, len(own), _key(SPAN, len(own), dict(span_hashes(own, [len(own)]))[len(own)])[0], 0, kinds.astype(np.int8).tobytes(), values.tobytes(), len(own)))
+    return out
 
 
-def contamination(text: Column, items: Broadcast, window: int, least_tokens: int, least_share: float) -> Column:
-    """Array of the items, broadcast as (item_id, text), that are found in each text."""
-    held: list[Index] = []
+def document_windows(texts: list[str], lengths: dict[int, list[int]], held) -> Iterator[tuple]:
+    """(text, key, place, literals) of the windows of documents with keys that the sieve holds."""
+    owner, tokens, literal, _ = template(texts)
+    starts = np.searchsorted(owner, np.arange(len(texts)))
+
+    def hashed() -> Iterator[tuple[int, int, np.ndarray]]:
+        for n in lengths.get(TEMPLATE, []):
+            yield TEMPLATE, n, window_hashes(tokens, n)
+        for what, own in ((LITERAL, literal), (SPAN, tokens)):
+            for n, hashes in span_hashes(own, lengths.get(what, [])):
+                yield what, n, hashes
+
+    for what, n, hashes in hashed():
+        keys = _key(what, n, hashes)
+        at = np.flatnonzero(held(keys))
+        for i in at[owner[at] == owner[at + n - 1]].tolist():
+            yield owner[i], keys[i], i - starts[owner[i]], literal[i : i + n].tobytes()
+
+
+def consistent(hits: list[tuple]) -> tuple[int, int, int]:
+    """Of the hits (what, place in the document, place in the item, kinds, item's literals, document's literals) of an item
+    in a document: consistent windows, its tokens in them, slots filled differently."""
+    covered, good, changed = set(), 0, 0
+    fillers: dict[int, tuple[dict, dict]] = {}
+    # the others come after windows of templates, so that their fillers don't shut those out
+    for what, shift, p, kinds, theirs, ours in sorted((what != TEMPLATE, at - p, p, kinds, theirs, ours) for what, at, p, kinds, theirs, ours in hits):
+        there, back = fillers.setdefault(shift, ({}, {}))
+        kind, x, y = np.frombuffer(kinds, np.int8), np.frombuffer(theirs, np.uint64), np.frombuffer(ours, np.uint64)
+        slots = [(int(kind[i]), int(x[i]), int(y[i])) for i in np.flatnonzero(kind != WORD)]
+        new: dict = {}
+        if all(there.get((t, x), new.setdefault((t, x), y)) == y for t, x, y in slots) and all(back.get((t, y), x) == x for t, x, y in slots) and len({(t, y) for (t, _), y in new.items()}) == len(new):
+            there.update(new)
+            back.update({(t, y): x for (t, x), y in new.items()})
+            good += 1
+            covered.update(range(p, p + len(kind)))
+            changed += sum(x != y for _, x, y in slots)
+    return good, len(covered), changed
+
+
+ITEM_WINDOW = "item long, item_id long, times long, what int, n int, key long, place int, kinds binary, literals binary, item_tokens int"
+
+
+def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
+    """The windows of the distinct rows of benchmark (item_id, text), with how often each row is there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            for part in slices(texts):
+                found = item_windows(texts[part], window)
+                at = pa.array([part.start + w[0] for w in found], pa.int64())
+                what, n, place, size = (pa.array([w[i] for w in found], pa.int32()) for i in (1, 2, 4, 7))
+                key = pa.array(np.array([w[3] for w in found], np.uint64).view(np.int64))
+                kinds, literals = (pa.array([w[i] for w in found], pa.binary()) for i in (5, 6))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), what, n, key, place, kinds, literals, size], [c.split()[0] for c in ITEM_WINDOW.split(", ")])
+
+    items = benchmark.where("text is not null").groupBy(F.col("item_id").cast("long").alias("item_id"), "text").agg(F.count("*").alias("times"))
+    return items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "times", "text").mapInArrow(run, ITEM_WINDOW)
+
+
+def _sieve(windows: DataFrame):
+    """Whether keys may be among those of windows: two bits of a table each."""
+    n = windows.count()
+    bits = min(SIEVE_MOST, 1 << max(16, int(n).bit_length() + 9))
+    spots = windows.select(F.explode(F.array("key", F.expr("shiftrightunsigned(key, 32)"))).alias("k")).select(F.expr(f"k & {bits - 1}L").alias("k"))
+    words = spots.select(F.expr("shiftright(k, 6)").alias("word"), F.expr("shiftleft(1L, cast(k & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = windows.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    mask = np.uint64(bits - 1)
+
+    def held(keys: np.ndarray) -> np.ndarray:
+        table, out = shared.value, None
+        spot = keys & mask
+        out = (table[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        on = np.flatnonzero(out)
+        spot = keys[on] >> np.uint64(32) & mask
+        out[on] = (table[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
 
-    @F.pandas_udf(f"array<{HIT}>")
-    def found(texts: pd.Series) -> pd.Series:
-        if not held:
-            held.append(Index(items.value, window))
-        index, out = held[0], []
-        texts = [t or "" for t in texts]
-        for part in slices(texts):
-            for hits in index.search(texts[part]):
-                out.append(
-                    [
-                        {"item_id": index.ids[k], "windows": good, "covered": covered, "item_tokens": len(index.kind[k]), "changed_slots": changed}
-                        for k, (good, covered, changed) in sorted(hits.items())
-                        if covered >= min(least_tokens, least_share * len(index.kind[k]))
-                    ]
-                )
-        return pd.Series(out)
+    return held
 
-    return found(text)
+
+HIT = "struct<item_id: long, windows: int, covered: int, item_tokens: int, changed_slots: int>"
 
 
-def with_contamination(docs: DataFrame, benchmark: DataFrame, column: str = "hits", window: int = WINDOW, least_tokens: int = 13, least_share: float = 0.5, block_windows: int = 2_000_000) -> DataFrame:
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_tokens: int = 13, least_share: float = 0.5) -> DataFrame:
+    """(text_hash, item_id, windows, covered, item_tokens, changed_slots) of the distinct texts of docs (text) and the items of
+    benchmark (item_id, text) found in them; text_hash is xxhash64 of the text. An item's repeated rows are repeated rows."""
+    windows = cut(windows_of(benchmark, window), "items")
+    lengths: dict[int, list[int]] = {}
+    for r in windows.select("what", "n").distinct().collect():
+        lengths[r.what] = sorted([*lengths.get(r.what, []), r.n])
+    held = _sieve(windows)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, batch.num_rows, ROWS_AT_ONCE)):
+                texts = rows.column(1).to_pylist()
+                for part in slices(texts):
+                    found = list(document_windows(texts[part], lengths, held))
+                    at = pa.array([part.start + int(w[0]) for w in found], pa.int64())
+                    key = pa.array(np.array([w[1] for w in found], np.uint64).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(at), key, pa.array([int(w[2]) for w in found], pa.int64()), pa.array([w[3] for w in found], pa.binary())], ["text_hash", "key", "at", "ours"])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [consistent([tuple(h.values()) for h in hits]) for hits in batch.column(4).to_pylist()]
+            good, covered, changed = (pa.array([f[i] for f in found], pa.int32()) for i in range(3))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), good, covered, changed], ["text_hash", "item_id", "times", "item_tokens", "windows", "covered", "changed_slots"])
+
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("text_hash"), "text")
+    # copies of a text are summed up before anything meets
+    places = texts.mapInArrow(seen, "text_hash long, key long, at long, ours binary").dropDuplicates(["text_hash", "key", "at"])
+    hit = F.struct("what", "at", "place", "kinds", F.col("literals").alias("theirs"), "ours")
+    met = places.join(windows, "key").groupBy("text_hash", "item").agg(F.first("item_id").alias("item_id"), F.first("times").alias("times"), F.first("item_tokens").alias("item_tokens"), F.collect_list(hit).alias("hits"))
+    schema = "text_hash long, item_id long, times long, item_tokens int, windows int, covered int, changed_slots int"
+    out = met.select("text_hash", "item_id", "times", "item_tokens", "hits").mapInArrow(judged, schema)
+    out = out.where((F.col("windows") > 0) & (F.col("covered") >= F.least(F.lit(float(least_tokens)), least_share * F.col("item_tokens"))))
+    return out.withColumn("times", F.explode(F.expr("sequence(1, times)"))).drop("times")
+
+
+def with_contamination(docs: DataFrame, benchmark: DataFrame, column: str = "hits", **more) -> DataFrame:
     """docs with an array of the items of benchmark (item_id, text) found in each row's text."""
-    # An item of c characters has c windows at most, so blocks of so many characters bound the broadcast; one very long item is a block of its own.
-    sized = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + total // (4 * block_windows)
-    parts = []
-    for b in range(blocks):
-        items = [(r[0], r[1]) for r in sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()]
-        if items:
-            parts.append(contamination(F.col("text"), docs.sparkSession.sparkContext.broadcast(items), window, least_tokens, least_share))
-    empty = F.array().cast(f"array<{HIT}>")
-    return docs.withColumn(column, F.concat(*parts) if len(parts) > 1 else parts[0] if parts else empty)
+    found = contaminated_texts(docs, benchmark, **more).groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("item_id", "windows", "covered", "item_tokens", "changed_slots"))).alias("__found"))
+    met = docs.withColumn("__hash", F.xxhash64("text")).join(found.withColumnRenamed("text_hash", "__hash"), "__hash", "left")
+    return met.select(*docs.columns, F.coalesce("__found", F.array().cast(f"array<{HIT}>")).alias(column))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **more) -> DataFrame:
+    """The rows of docs in whose text no item of benchmark (item_id, text) is found."""
+    found = cut(contaminated_texts(docs, benchmark, **more).select(F.col("text_hash").alias("__hash")).distinct(), "contaminated")
+    return docs.withColumn("__hash", F.xxhash64("text")).join(found, "__hash", "left_anti").select(*docs.columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item found in it."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = with_contamination(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("hits").alias("hit"))
-    return marked.select("doc_id", "hit.*", (F.col("hit.covered") / F.col("hit.item_tokens")).alias("coverage"))
+    found = contaminated_texts(docs, read_table(spark, sf_dir, "benchmark"))
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash")).join(cut(found, "found"), "text_hash")
+    return rows.select("doc_id", "item_id", "windows", "covered", "item_tokens", "changed_slots", (F.col("covered") / F.col("item_tokens")).alias("coverage"))

@@ -561,7 +561,7 @@ ITEMS = [
 ]
 
 
-def test_templates(spark):
+def test_templates(spark, monkeypatch):
     filler = "some other words stand around it and mean nothing at all to anyone"
     changed = ITEMS[0][1].replace("12", "45").replace("300", "7,000").replace("Alice", "Bob")
     crossed = ITEMS[0][1].replace("Alice counts", "Bob counts")
@@ -576,8 +576,9 @@ def test_templates(spark):
         *((100 + i, t) for i, (_, t) in enumerate(EDGES)),
     ]
     items = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
-    for block in (2_000_000, 10):
-        marked = decontamination.with_contamination(edges(spark, rows).drop("hits"), items, "hits", block_windows=block).collect()
+    for most in (1 << 27, 1 << 6):
+        monkeypatch.setattr(decontamination, "SIEVE_MOST", most)
+        marked = decontamination.with_contamination(edges(spark, rows).drop("hits"), items, "hits").collect()
         found = {r.doc_id: sorted(h.item_id for h in r.hits) for r in marked}
         assert 1 in found[1] and 1 in found[2]
         assert found[4] == []
@@ -586,21 +587,67 @@ def test_templates(spark):
         slots = {r.doc_id: h.changed_slots for r in marked for h in r.hits if h.item_id == 1}
         assert slots[1] == 0 < slots[2]
     # the second name differs from the first where the item has one name twice: windows that hold both don't count
-    index = decontamination.Index([ITEMS[0]], 20)
-    assert index.search([crossed])[0].get(0, (0, 0, 0))[0] < index.search([ITEMS[0][1]])[0][0][0]
+    assert plain_search([ITEMS[0][1]], [crossed], 20)[0].get(0, (0, 0, 0))[0] < plain_search([ITEMS[0][1]], [ITEMS[0][1]], 20)[0][0][0]
     assert decontamination.with_contamination(edges(spark), items.where("false"), "found").where("size(found) > 0").count() == 0
     assert decontamination.with_contamination(edges(spark, []), items, "found").count() == 0
 
 
+def plain_search(items, docs, window=decontamination.WINDOW):
+    """For each document: item -> what consistent() says of all windows that they share; no sieve and no join."""
+    windows, out = decontamination.item_windows(items, window), [{} for _ in docs]
+    lengths = {what: sorted({w[2] for w in windows if w[1] == what}) for what in range(3)}
+    hits = {}
+    for doc, key, at, ours in decontamination.document_windows(docs, lengths, lambda keys: np.ones(len(keys), bool)):
+        for k, what, _, own, p, kinds, theirs, _ in windows:
+            if own == key:
+                hits.setdefault((int(doc), k), []).append((what, int(at), p, kinds, theirs, ours))
+    for (doc, k), found in hits.items():
+        if (good := decontamination.consistent(found))[0]:
+            out[doc][k] = good
+    return out
+
+
+def tokens_of(item):
+    return len(decontamination.template([item])[0])
+
+
 def test_items_of_few_words():
-    items = ["What is 3 + 4 * 5 - 6 / 2 + 7?", "Solve 12 x 5 - 3 = 4 y 7 + 9 for 2 and 8.", "Which of Alice, Bob, Carol, Dave, Erin or Frank won?", "Is 3 + 4 = 7?", "1 2 3 4 5 6 7 8 9"]
-    index = decontamination.Index(list(enumerate(items)), decontamination.WINDOW)
-    found = index.search([f"some text before. {t} and after" for t in items])
-    assert all(k in x and x[k][1] == len(index.kind[k]) and x[k][2] == 0 for k, x in enumerate(found))
+    items = ["What is 3 + 4 * 5 - 6 / 2 + 7?", "Solve 12 x 5 - 3 = 4 y 7 + 9 for 2 and 8.", "Which of Alice, Bob, Carol, Dave, Erin or Frank won?", "Is 3 + 4 = 7?", "1 2 3 4 5 6 7 8 9", "The Quick Brown Fox Jumps Over The Lazy Dog Near River Bank", "小明有十二个苹果他给了小红五个还剩几个", "小明有几个苹果"]
+    found = plain_search(items, [f"some text before. {t} and after" for t in items[:6]] + [f"前文在此{t}后文在此" for t in items[6:]])
+    assert all(k in x and x[k][1] == tokens_of(items[k]) and x[k][2] == 0 for k, x in enumerate(found))
     other = ["What is 13 + 14 * 15 - 16 / 12 + 17?", "Solve 22 x 25 - 23 = 24 y 27 + 29 for 20 and 28.", "Which of Gina, Hugo, Ivan, Jane, Karl or Lena won?"]
-    assert all(k in x and x[k][1] == len(index.kind[k]) and x[k][2] > 0 for k, x in enumerate(index.search(other)))
+    assert all(k in x and x[k][1] == tokens_of(items[k]) and x[k][2] > 0 for k, x in enumerate(plain_search(items, other)))
     # slots of different values with one filler; few tokens, or no word, with other values
-    assert index.search(["What is 1 + 1 * 1 - 1 / 1 + 1?", "Is 5 + 6 = 11?", "11 12 13 14 15 16 17 18 19"]) == [{}, {}, {}]
+    assert plain_search(items, ["What is 1 + 1 * 1 - 1 / 1 + 1?", "Is 5 + 6 = 11?", "11 12 13 14 15 16 17 18 19"]) == [{}, {}, {}]
+
+
+def test_changed_questions_against_plain_search(spark):
+    """Questions with other numbers and names, cut off or with a crossed name, found as without sieve and join; repeated rows
+    of documents and items, and a text that is null."""
+    rng = random.Random(3)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(300)]
+    items = [" ".join(rng.choice([rng.choice(words)] * 5 + [str(rng.randrange(99)), rng.choice(["Alice", "Bob", "Carol"]), f"{rng.randrange(9)} km"]) for _ in range(rng.randrange(6, 40))) for _ in range(30)]
+    docs = []
+    for i in range(120):
+        t = rng.choice(items)
+        if i % 3:
+            t = re.sub(r"\d+", lambda m: str(int(m[0]) + 100), t).replace("Alice", "Xena")
+        if i % 4 == 1:
+            t = t.replace("Bob", "Carol")
+        docs.append(" ".join(rng.choices(words, k=10)) + " " + t[: rng.randrange(20, 400)] + " " + " ".join(rng.choices(words, k=10)))
+    want = set()
+    for d, found in enumerate(plain_search(items, docs)):
+        want |= {(d, k, *x) for k, x in found.items() if x[1] >= min(13, 0.5 * tokens_of(items[k]))}
+    assert any(x[-1] for x in want) and len(want) > 80
+    benchmark = spark.createDataFrame([*enumerate(items), (0, items[0])], "item_id long, text string")
+    rows = [*enumerate(docs), (0, docs[0]), (500, None), (501, "")]
+    marked = decontamination.with_contamination(spark.createDataFrame(rows, "doc_id long, text string"), benchmark, "hits").collect()
+    assert len(marked) == len(rows)
+    got = Counter((r.doc_id, h.item_id, h.windows, h.covered, h.changed_slots) for r in marked for h in r.hits)
+    assert set(got) == want
+    assert all(n == (2 if k[0] == 0 else 1) * (2 if k[1] == 0 else 1) for k, n in got.items())
+    kept = decontamination.without_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert {r.doc_id for r in kept} == {d for d, _ in rows} - {k[0] for k in want}
 
 
 def test_contamination_of_documents(spark):
