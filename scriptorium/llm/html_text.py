@@ -1,11 +1,14 @@
 """Main text of web pages, with site templates removed.
 
 Every element outside a page's main content is hashed (tags and text of its subtree). Spark counts in how many pages of a
-host each hash occurs; subtrees that recur in at least `least_pages` pages and `least_share` of the host's pages are that
-site's template and are deleted, whichever pages they stand in. The main content is the largest <article>, else <main>,
+host each hash occurs; subtrees that recur in at least `least_pages` pages and `least_share` of the host's pages, or in
+`many_pages` of however many, are that site's template and are deleted, whichever pages they stand in. The main content is the largest <article>, else <main>,
 else what is left of the body; inside it, recurring subtrees are deleted only where they hold links or controls but no
 paragraph of their own, since authors repeat passages too. Menus, footers, sidebars, notices, adverts, forms and reader
-comments that only one page has are known by their elements, roles and class names.
+comments that only one page has are known by their elements, roles and class names. A class name or id counts if it is a
+word of HINTS, or made of such words and words of PLACES only ("cookie-notice", "sidebar-left", but not "no-sidebar" or
+"related-work"); never on <html> or <body>, nor above the main content where no other article is found, nor where nothing
+would be left.
 
 Text: character references decoded, white space inside a block as one space, blocks joined by a newline in page order.
 
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, read_table
 
-LEAST_PAGES, LEAST_SHARE, MOST_BROADCAST = 3, 0.2, 1_000_000
+LEAST_PAGES, LEAST_SHARE, MANY_PAGES, MOST_BROADCAST = 3, 0.2, 100, 1_000_000
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*+)(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(\bhidden\b)""")
@@ -40,6 +43,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay comment comments commentary disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget toolbar pagination pager skip".split()
 )
+PLACES = frozenset("area bar bars block bottom box button buttons container desktop global icons inner left link links list mobile outer panel primary right row secondary section site small top widget widgets wrap wrapper".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -50,18 +54,27 @@ class Node:
         self.tag, self.marks, self.children, self.hash, self.size = tag, marks, [], 0, 0
 
 
+OWN, HEADER, NAMED = 1, 2, 3
+
+
+def _hinted(name: str) -> bool:
+    words = [w.lower() for w in WORDS.findall(name)]
+    return any(w in HINTS for w in words) and all(w in HINTS or w in PLACES for w in words)
+
+
 def _boilerplate(tag: str, attrs: str) -> int:
-    """1: what such an element holds is not the article's; 2: the same, unless it is inside the article."""
+    """OWN: what such an element holds is not the article's; HEADER: the same, unless it is inside the article; NAMED: the
+    same by its name only."""
     if tag in DROPPED:
-        return 1
-    mark = 2 if tag == "header" else 0
+        return OWN
+    mark = HEADER if tag == "header" else 0
     if attrs:
         for m in ATTR.finditer(attrs):
             name, value = (m[1] or m[3]).lower(), (m[2] or "").strip("\"'")
-            if name in ("class", "id") and any(w.lower() in HINTS for w in WORDS.findall(value)):
-                return 1
             if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return 1
+                return OWN
+            if name in ("class", "id") and tag not in ("html", "body") and any(map(_hinted, value.split())):
+                mark = NAMED
     return mark
 
 
@@ -107,8 +120,8 @@ def parse(html: str) -> Node:
         attrs = m["attrs"] or m["attrs2"] or ""
         node = Node(tag, _boilerplate(tag, attrs))
         stack[-1].children.append(node)
-        if tag in VOID or attrs.endswith("/"):
-            continue
+        if tag in VOID or tag in ("svg", "math") and attrs.endswith("/"):
+            continue  # other elements don't close themselves
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?:\s[^>]*)?>", re.I).search(html, at)
             at = end.end() if end else len(html)
@@ -146,13 +159,16 @@ def measure(root: Node) -> list[Node]:
 
 def main_content(root: Node) -> Node:
     """The largest article that is not reader comments or the like, else the largest main, else the page."""
-    best: dict[str, Node] = {}
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if node.tag in ("article", "main") and (node.tag not in best or node.size >= best[node.tag].size):
-            best[node.tag] = node
-        todo += [x for x in node.children if not isinstance(x, str) and x.marks != 1]
+    for dropped in ((OWN, NAMED), (OWN,)):
+        best: dict[str, Node] = {}
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            if node.tag in ("article", "main") and (node.tag not in best or node.size >= best[node.tag].size):
+                best[node.tag] = node
+            todo += [x for x in node.children if not isinstance(x, str) and x.marks not in dropped]
+        if best:
+            break
     article, main = best.get("article"), best.get("main")
     return article if article is not None and (main is None or article.size >= 0.5 * main.size) else main or root
 
@@ -197,6 +213,10 @@ def candidates(root: Node) -> list[int]:
 def main_text(root: Node, templates: frozenset | set) -> str:
     """The text of the main content without templates (hashes); measure() or candidates() comes first."""
     main = main_content(root)
+    return _text(main, root, templates, (OWN, NAMED)) or _text(main, root, templates, (OWN,))
+
+
+def _text(main: Node, root: Node, templates: frozenset | set, dropped: tuple) -> str:
     blocks, now = [], []
 
     def flush() -> None:
@@ -212,7 +232,7 @@ def main_text(root: Node, templates: frozenset | set) -> str:
             flush()
         elif isinstance(x, str):
             now.append(x)
-        elif x is not main and (x.marks == 1 or x.marks == 2 and main is root or x.hash in templates):
+        elif x is not main and (x.marks in dropped or x.marks == HEADER and main is root or x.hash in templates):
             now.append(" ")
         elif x.tag == "br" or x.tag in ("td", "th", "img"):
             now.append(" ")
@@ -232,9 +252,9 @@ def _hosted(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", host.alias("host"))
 
 
-def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """(host, hashes) of the subtrees that recur across pages (page_id, url, html). A host has at most (its pages' mean number
-    of subtrees) / least_share of them."""
+    of subtrees) times the greater of 1 / least_share and its pages / many_pages of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +268,7 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share
     seen = _hosted(pages).where("host != '' and html is not null").select("host", "html").mapInArrow(run, "host string, hash long")
     counts = cut(seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages), "subtrees")
     sites = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    kept = counts.where("hash != 0").join(sites, "host").where(F.col("n") >= F.col("pages") * least_share)
+    kept = counts.where("hash != 0").join(sites, "host").where(F.col("n") >= F.least(F.col("pages") * least_share, F.lit(many_pages)))
     return kept.groupBy("host").agg(F.collect_set("hash").alias("hashes"))
 
 

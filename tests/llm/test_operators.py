@@ -84,6 +84,56 @@ def test_article_paragraphs_are_no_template(spark):
     assert [t for _, t in extract(spark, rows)] == [f"Licence line\nText {i}" for i in range(5)]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="page right-sidebar"><article><p>One two.</p></article></body>',
+        '<body class="no-sidebar"><p>One two.</p></body>',
+        '<html class="menu"><body id="footer"><p>One two.</p></body></html>',
+        '<div id="content-with-sidebar"><main><p>One two.</p></main></div>',
+        '<div class="sidebar"><article><p>One two.</p></article></div><div class="ad">Buy</div>',
+        '<div class="widget"><p>One two.</p></div>',
+        '<script src="x"/>var a = "no text";</script><article><p>One two.</p></article>',
+        '<article><p>One two.</p><div class="cookie-notice">We bake</div><div class="share-buttons">Share</div></article>',
+        '<article><p>One two.</p></article><div class="comments"><article><p>First of all, a comment that is longer.</p></article></div>',
+    ],
+)
+def test_class_names(page):
+    root = html_text.parse(page)
+    html_text.measure(root)
+    assert html_text.main_text(root, frozenset()) == "One two."
+
+
+def test_named_sections_of_an_article():
+    root = html_text.parse('<article><p>A.</p><section class="related-work"><p>B.</p></section><div class="legal-notice"><p>C.</p></div></article>')
+    html_text.measure(root)
+    assert html_text.main_text(root, frozenset()) == "A.\nB.\nC."
+
+
+def test_templates_are_counted_by_host(spark):
+    """Against a plain count over 60 pages of three hosts, one of them without articles."""
+    rng = random.Random(5)
+    notices = [f'<div><span>Notice {i} of the site</span></div>' for i in range(6)]
+    rows = []
+    for i in range(60):
+        own = "".join(f"<p>Text {i} {j} of its own.</p>" for j in range(3))
+        own = own if i % 3 == 0 else f"<article>{own}</article>"
+        rows.append((i, f"https://h{i % 3}.example/{i}", f"<body>{''.join(rng.sample(notices, rng.randrange(4)))}{own}</body>"))
+    counts, pages = Counter(), Counter()
+    for _, url, html in rows:
+        host = url.split("/")[2]
+        pages[host] += 1
+        counts.update((host, h) for h in html_text.candidates(html_text.parse(html)))
+    want = {}
+    for (host, h), n in counts.items():
+        if n >= 3 and n >= 0.2 * pages[host]:
+            want.setdefault(host, set()).add(h)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.host: set(r.hashes) for r in html_text.site_templates(frame).collect()} == want
+    many = html_text.site_templates(frame, least_share=2.0, many_pages=5).collect()
+    assert {(r.host, h) for r in many for h in r.hashes} == {k for k, n in counts.items() if n >= 5}
+
+
 def test_broken_pages(spark):
     rows = [(1, "http://h/", "<article><p>a<p>b <b>c"), (2, "http://h/", "<p class='x"), (3, "http://h/", "a < b & c &am"), (4, "http://h/", "<div>" * 5000 + "deep"), (5, "http://h/", "</p></div>x<!-- y"), (6, "http://h/", "<article>" + "<p>p</p>" * 20_000 + "</article>")]
     found = dict(extract(spark, rows))
