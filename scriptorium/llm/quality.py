@@ -5,8 +5,8 @@ features. Features: the words (hashed, each with weight 1/words), buckets of sta
 words repeat the one before, marks after words, capitals, repeated lines, ...), and metadata of the text itself (its
 length in characters, words and lines). Nothing else of a row is an input.
 
-Fitted on the driver on at most `most_labels` labelled rows, taken in the order of a hash of doc_id; rows whose
-crc32(doc_id) mod 5 is 0 are never among them. Scoring covers every whole text.
+Fitted on the driver on at most `most_labels` pairs of a document and a label, taken in the order of a hash of doc_id; rows
+whose crc32(doc_id) mod 5 is 0 are never among them. Scoring covers every whole text.
 
 Null and empty texts have the features of a text of no words and get a score like any other. Labels that are null are left
 out; a document labelled twice counts twice. With no labels, or labels of one kind only, scores are that share (0.5
@@ -179,9 +179,10 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
                     {"doc_id": part["doc_id"], "quality": part["quality"], "words": [words[e - k : e].astype(np.int16).tobytes() for e, k in zip(ends, n, strict=True)], "stats": [x.astype(np.int16).tobytes() for x in stats]}
                 )
 
-    # ids has most_labels rows at most: 12 bytes each to broadcast
+    # ids has most_labels rows at most: 12 bytes each to broadcast; ids that many documents share are cut after the join
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    rows = sorted(sample.mapInPandas(run, "doc_id long, quality int, words binary, stats binary").collect())
+    found = sample.mapInPandas(run, "doc_id long, quality int, words binary, stats binary")
+    rows = sorted(found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "words", "stats").limit(most_labels).collect())
     words = [np.frombuffer(r.words, np.int16).astype(np.int64) for r in rows]
     stats = np.stack([np.frombuffer(r.stats, np.int16) for r in rows]).astype(np.int64) if rows else np.zeros((0, len(STATS)), np.int64)
     n = np.array([len(x) for x in words], np.int64)
