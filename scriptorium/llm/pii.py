@@ -7,6 +7,10 @@ the corpus, is scored in rounds: a pattern's score is the share of its occurrenc
 that rare patterns are not), an instance's score that of its best pattern of the same kind of token. Occurrences in
 patterns of at least `least_score` that no base span covers are found as kind "context".
 
+Tokens end at white space and at ENDS; those of fewer than LEAST_TOKEN characters (no base span is as short) are no
+occurrences, longer ones all are. The words before and after are looked for within CONTEXT characters; a word that begins or
+ends beyond them is what of it lies within, and where there is none, the pattern has an empty word.
+
 Patterns and instances are keys of sums only, so a hot word or a copied passage is summed before it is shuffled, and joins
 with the scores are plain joins, which adaptive execution splits where they are skewed.
 
@@ -33,6 +37,7 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 ENDS = r"\s|,;:!?\"'()<>\[\]{}#$%&*="
 TOKEN = rf"(?<![^{ENDS}])[^{ENDS}0-9@]*+[0-9@][^{ENDS}]*+"
 LEAST_SCORE, ROUNDS, SMOOTH = 0.8, 3, 2.0
+LEAST_TOKEN, CONTEXT = 5, 40
 
 
 def _digits(hit: Column) -> Column:
@@ -66,11 +71,11 @@ def _shape(token: Column) -> Column:
 
 def occurrences(found: DataFrame) -> DataFrame:
     """(row columns, start, end, seed, pattern, instance) of the tokens with a digit or @ in found (doc_id, text, spans)."""
-    turns = find_spans(F.col("text"), TOKEN, "context", 4, lambda hit, _: F.length(hit).between(5, 64))
+    turns = find_spans(F.col("text"), TOKEN, "context", 4, lambda hit, _: F.length(hit) >= LEAST_TOKEN)
     tokens = found.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text", "spans", F.explode(turns).alias("t"))
     token = F.substring("text", F.col("t.start") + 1, F.col("t.end") - F.col("t.start"))
-    before = F.lower(F.regexp_extract(F.substring("text", F.greatest(F.col("t.start") - 39, F.lit(1)), F.least(F.col("t.start"), F.lit(40))), r"([\p{L}_]+)[^\p{L}\p{N}]*$", 1))
-    after = F.lower(F.regexp_extract(F.substring("text", F.col("t.end") + 1, F.lit(40)), r"^[^\p{L}\p{N}]*([\p{L}_]+)", 1))
+    before = F.lower(F.regexp_extract(F.substring("text", F.greatest(F.col("t.start") - (CONTEXT - 1), F.lit(1)), F.least(F.col("t.start"), F.lit(CONTEXT))), r"([\p{L}_]+)[^\p{L}\p{N}]*$", 1))
+    after = F.lower(F.regexp_extract(F.substring("text", F.col("t.end") + 1, F.lit(CONTEXT)), r"^[^\p{L}\p{N}]*([\p{L}_]+)", 1))
     seed = F.exists("spans", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
     return tokens.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("t.start").alias("start"), F.col("t.end").alias("end"), seed.alias("seed"), token.alias("instance"), before.alias("before"), after.alias("after")).withColumn("shape", _shape(F.col("instance"))).withColumn("pattern", F.concat_ws(" ", "before", "shape", "after")).drop("before", "after")
 
