@@ -7,10 +7,14 @@ score that at least k candidates reach; a cell whose upper bound is below it can
 A cell's rows are dealt into blocks of bounded size, as are the queries of a cell, so a hot cell is many tasks; each block
 solves its queries by one matrix product and sends on its k best, and those are merged per query.
 
+The number of pivots grows with the square root of the rows, and blocks with the rows and queries, up to BLOCK of each, so
+that what is written again for each block a query or row meets grows as slowly as memory allows.
+
 Vectors that are null, empty or hold null or non-finite components, and rows without an id, take no part. Vectors of
-different lengths are never compared. Equal ids are one query each, and no row with the query's own id is a candidate.
-Ties go to the smaller vec_id. Fewer candidates than k are all returned; an empty table gives an empty result. Components
-must keep |q.x| below 2^63. Other columns are ignored.
+different lengths are never compared. Equal ids are one query, by the shortest and then least of their vectors, and no row
+with the query's own id is a candidate. Ties go to the smaller vec_id. Fewer candidates than k are all returned; an empty
+table gives an empty result. Integer components and scores beyond 64 bits are held at the ends of that range. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,21 +30,29 @@ from pyspark.sql.window import Window
 
 from .common import cut, read_table
 
-PIVOTS, BLOCK, QUERY_BLOCK = 32, 4096, 2048
+LEAST_PIVOTS, MOST_PIVOTS = 32, 2048
+LEAST_BLOCK, BLOCK = 4096, 32768
+CHUNK = 128
+TOP, BOTTOM = (1 << 63) - 1, -(1 << 63)
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """(vec_id, v, dim) of vectors (vec_id, embedding) that take part."""
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0))
-    out = out.withColumn("fine", F.forall("x", lambda x: F.coalesce(x.between(-1e15, 1e15) & ~F.isnan(x), F.lit(False)))).where("fine")
+    out = out.withColumn("fine", F.forall("x", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))).where("fine")
     return out.select("vec_id", F.transform("x", lambda x: F.floor(x * scale).cast("long")).alias("v"), F.size("x").alias("dim"))
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a b^T over integers, exactly: in doubles where they hold every partial sum."""
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    return (a.astype(float) @ b.T.astype(float)).astype(np.int64) if bound < 2**53 else a @ b.T
+    """a b^T over integers, exactly: in doubles or 64 bits where they hold every partial sum, else in Python's integers, held at
+    the ends of 64 bits."""
+    bound = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * max(1, a.shape[1])
+    if bound < 2**53:
+        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
+    if bound < 2**62:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.T.astype(object), BOTTOM, TOP).astype(np.int64)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -66,13 +78,17 @@ def with_cells(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, v array<long>, dim int, cell int, far double")
 
 
-def top_k(vectors: DataFrame, is_query: str, k: int = 10, n_pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: str, k: int = 10, n_pivots: int | None = None, block: int | None = None, query_block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each row of vectors (vec_id, embedding) that the SQL condition marks."""
     data = cut(integer_vectors(vectors), "vectors")
     # pivots: n_pivots rows a length at most, the first by a hash of the id
-    dims = [r.dim for r in data.select("dim").distinct().collect()]
+    sizes = data.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.expr(is_query).cast("long")).alias("queries")).collect()
+    n, n_queries = sum(r.n for r in sizes), sum(r.queries or 0 for r in sizes)
+    n_pivots = n_pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, int(n**0.5) // 8))
+    block = block or min(BLOCK, max(LEAST_BLOCK, n // 64))
+    query_block = query_block or min(BLOCK, max(LEAST_BLOCK // 2, n_queries // 16))
     pivots = {}
-    for dim in dims:
+    for dim in sorted(r.dim for r in sizes):
         rows = data.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").limit(n_pivots).select("v").collect()
         pivots[dim] = np.unique(np.array([r.v for r in rows], np.int64), axis=0)
     placed = cut(with_cells(data, pivots), "cells")
@@ -101,8 +117,9 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 10, n_pivots: int = PIVOTS
                 q = _matrix(own["v"])
                 names, counts, far = (np.array(x) for x in zip(*((c, n, f) for c, n, f, _ in cells[dim]), strict=True))
                 near = q.astype(float) @ pivots[dim][names].astype(float).T
-                reach = np.linalg.norm(q.astype(float), axis=1, keepdims=True) * far * (1 + 1e-9) + 1
-                low, high = near - reach, near + reach
+                length, weight = np.linalg.norm(q.astype(float), axis=1, keepdims=True), np.linalg.norm(pivots[dim][names].astype(float), axis=1)
+                reach = length * far * (1 + 1e-9) + length * weight * (dim * 1e-15) + 1
+                low, high = np.clip(near - reach, BOTTOM, TOP), np.clip(near + reach, BOTTOM, TOP)
                 order = np.argsort(-low, axis=1)
                 enough = np.cumsum(counts[order], axis=1) >= k + np.array(own["twins"])[:, None]  # the rows with the query's own id don't count
                 at = np.where(enough.any(1), enough.argmax(1), low.shape[1] - 1)
@@ -120,8 +137,7 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 10, n_pivots: int = PIVOTS
                         ["query_id", "q", "dim", "cell", "part", "group"],
                     )
 
-    twins = placed.where(is_query).groupBy("vec_id").agg(F.count("*").alias("twins"))
-    queries = placed.where(is_query).join(twins, "vec_id")
+    queries = placed.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "v", "cell")).alias("q"), F.count("*").alias("twins")).select("vec_id", "q.*", "twins")
 
     @F.pandas_udf("int")
     def group_of(dim: pd.Series, cell: pd.Series, spread: pd.Series) -> pd.Series:
@@ -132,7 +148,7 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 10, n_pivots: int = PIVOTS
     def part_of(dim: pd.Series, cell: pd.Series, spread: pd.Series) -> pd.Series:
         return pd.Series((spread.to_numpy() % np.array([blocks[x] for x in zip(dim, cell, strict=True)])).astype(np.int32))
 
-    queries = queries.dropDuplicates(["vec_id"]).withColumn("group", group_of("dim", "cell", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))))
+    queries = queries.withColumn("group", group_of("dim", "cell", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))))
     sent = cut(queries.select("vec_id", "v", "dim", "group", "twins").mapInArrow(send, "query_id long, q array<long>, dim int, cell int, part int, group int"), "queries")
     dealt = placed.select("vec_id", "v", "dim", "cell", part_of("dim", "cell", F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30))).alias("part"))
     # a block of rows goes to each group of queries that needs it
@@ -144,8 +160,8 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 10, n_pivots: int = PIVOTS
         ids, found = right["vec_id"].to_numpy(), []
         if len(left) and len(right):
             v = np.stack(right["v"].to_numpy())
-            for i in range(0, len(left), 512):
-                own = left.iloc[i : i + 512]
+            for i in range(0, len(left), CHUNK):
+                own = left.iloc[i : i + CHUNK]
                 scores = products(np.stack(own["q"].to_numpy()), v)
                 for query, row in zip(own["query_id"].to_numpy(), scores, strict=True):
                     other = np.flatnonzero(ids != query)
