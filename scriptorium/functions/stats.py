@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def mean_by(rows: DataFrame, kind: str, value: str) -> DataFrame:
+    """(kind, mean) of a value over the rows of each kind; kinds without any value have a null mean."""
+    return rows.groupBy(kind).agg(F.avg(value).alias("mean"))
+
+
+def outcomes(rows: DataFrame, failed: Column) -> DataFrame:
+    """(failed, done): how many rows failed, and how many did not (those of which it isn't known among them)."""
+    return rows.agg(F.count_if(F.coalesce(failed, F.lit(False))).alias("failed"), F.count_if(~F.coalesce(failed, F.lit(False))).alias("done"))
+
+
 def mutual_information(n11: Column, n10: Column, n01: Column, n00: Column) -> Column:
     """Mutual information, in bits, of the 2x2 table of a term and a set of documents; empty cells add nothing."""
     n = n11 + n10 + n01 + n00

@@ -108,11 +108,13 @@ def clean_body(text: Column) -> Column:
     return F.regexp_replace(F.array_join(F.transform(words, lambda w: F.concat(F.lit(" "), w)), ""), "- | -", "")
 
 
-def without_parentheses(text: Column, depth: int = 8) -> Column:
-    """Balanced groups in parentheses deleted, nested ones up to `depth` deep."""
-    for _ in range(depth):
-        text = F.regexp_replace(text, r"\([^()]*\)", "")
-    return text
+def without_parentheses(text: Column) -> Column:
+    """Balanced groups in parentheses deleted, however deep; what has no partner stays."""
+    innermost = r"\([^()]*\)"
+    text = F.regexp_replace(F.regexp_replace(text, innermost, ""), innermost, "")
+    # deeper ones are rare: as many rounds as there are openings left are enough
+    deeper = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.length(F.replace(text, F.lit("("), F.lit(""))))), text, lambda t, _: F.regexp_replace(t, innermost, ""))
+    return F.when(text.rlike(innermost), deeper).otherwise(text)
 
 
 def strip(text: Column) -> Column:
@@ -133,14 +135,16 @@ def split_codes(text: Column) -> Column:
 
 
 def map_codes(docs: DataFrame, id_column: str, codes: Column, lookup: DataFrame, distinct: bool = True, strict: bool = True) -> DataFrame:
-    """(id, names): the names of each row's codes by lookup (code, name), sorted; unknown codes are an error if strict.
+    """(id, names): for each row the names of its codes by lookup (code, name), sorted (none if it has no codes, also where rows
+    share an id); unknown codes are an error if strict, and left out otherwise.
 
     The lookup is joined plainly: Spark broadcasts it when its size allows."""
-    exploded = docs.select(id_column, F.explode(codes).alias("code"))
-    if strict and (unknown := exploded.join(lookup, "code", "left_anti").select("code").limit(1).collect()):
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), id_column, codes.alias("__codes"))
+    exploded = rows.select("__row", id_column, F.explode_outer("__codes").alias("code"))
+    if strict and (unknown := exploded.where("code is not null").join(lookup, "code", "left_anti").select("code").limit(1).collect()):
         raise KeyError(f"unknown code {unknown[0].code}")
     collect = F.collect_set if distinct else F.collect_list
-    return exploded.join(lookup, "code").groupBy(id_column).agg(F.sort_array(collect("name")).alias("names"))
+    return exploded.join(lookup, "code", "left").groupBy("__row", id_column).agg(F.sort_array(collect("name")).alias("names")).drop("__row")
 
 
 def distinct_values(values: Column) -> Column:
@@ -154,8 +158,9 @@ def metadata_value(text: Column, label: str) -> Column:
 
 
 def paper_id(day: Column, number: Column) -> Column:
-    """yyMM.nnnnn"""
-    return F.concat(F.date_format(day, "yyMM"), F.lit("."), F.lpad(number.cast("string"), 5, "0"))
+    """yyMM.nnnnn, or with more digits where the number has more."""
+    digits = number.cast("string")
+    return F.concat(F.date_format(day, "yyMM"), F.lit("."), F.when(F.length(digits) < 5, F.lpad(digits, 5, "0")).otherwise(digits))
 
 
 def id_year_month(paper: Column) -> tuple[Column, Column]:

@@ -79,6 +79,43 @@ def number_rows(rows: DataFrame, key: str, first: int) -> DataFrame:
     return placed.withColumn("doc_id", base + F.row_number().over(order) - 1).drop("__bucket")
 
 
+class Snapshot:
+    """The batches of some commits, all tables of the same ones."""
+
+    def __init__(self, index: Index, commits: list):
+        self.spark, self.root, self.analyzer, self.live = index.spark, index.root, index.analyzer, commits
+
+    def snapshot(self) -> Snapshot:
+        return self
+
+    def table(self, name: str) -> DataFrame:
+        if not self.live:
+            raise IndexStateError("the index is empty")
+        return self.spark.read.parquet(*[f"{self.root}/{name}/{r.batch}" for r in self.live])
+
+    @property
+    def docs(self) -> DataFrame:
+        return self.table("docs")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.table("postings")
+
+    @property
+    def terms(self) -> DataFrame:
+        return merged_terms(self.table("terms"))
+
+    def number_of_docs(self) -> int:
+        return sum(r.n_docs for r in self.live)
+
+    def frequencies(self, words: list[str]) -> dict[str, int]:
+        """Document frequencies of the given terms (a row each)."""
+        if not words:
+            return {}
+        rows = self.table("terms").where(F.col("term").isin(*words)).groupBy("term").agg(F.sum("df").alias("df")).collect()
+        return {r.term: r.df for r in rows}
+
+
 class Index:
     """An index in a folder that all executors share."""
 
@@ -104,33 +141,30 @@ class Index:
     def batches(self) -> list[str]:
         return [r.batch for r in self.commits()]
 
+    def snapshot(self) -> Snapshot:
+        """The index as it is now: what reads it sees neither later commits nor compaction."""
+        return Snapshot(self, self.commits())
+
     def table(self, name: str) -> DataFrame:
-        live = self.batches()
-        if not live:
-            raise IndexStateError("the index is empty")
-        return self.spark.read.parquet(*[f"{self.root}/{name}/{b}" for b in live])
+        return self.snapshot().table(name)
 
     @property
     def docs(self) -> DataFrame:
-        return self.table("docs")
+        return self.snapshot().docs
 
     @property
     def postings(self) -> DataFrame:
-        return self.table("postings")
+        return self.snapshot().postings
 
     @property
     def terms(self) -> DataFrame:
-        return merged_terms(self.table("terms"))
+        return self.snapshot().terms
 
     def number_of_docs(self) -> int:
-        return sum(r.n_docs for r in self.commits())
+        return self.snapshot().number_of_docs()
 
     def frequencies(self, words: list[str]) -> dict[str, int]:
-        """Document frequencies of the given terms (a row each)."""
-        if not words:
-            return {}
-        rows = self.table("terms").where(F.col("term").isin(*words)).groupBy("term").agg(F.sum("df").alias("df")).collect()
-        return {r.term: r.df for r in rows}
+        return self.snapshot().frequencies(words)
 
     def get(self, ext_id: str, fields: Sequence[str] = ()) -> DataFrame:
         """The document of an external id; only the named fields that there are."""
@@ -151,7 +185,8 @@ class Index:
         reason = F.when(F.col("ext_id").isNull(), F.lit("no id"))
         if self.dimension and "vector" in fields:
             reason = reason.when(F.col("vector").isNotNull() & (F.size("vector") > 0) & (F.size("vector") != self.dimension), F.lit("vector of wrong length"))
-        order = Window.partitionBy("ext_id").orderBy("__at")
+        # rows without an id don't meet in one task
+        order = Window.partitionBy("ext_id", F.when(F.col("ext_id").isNull(), F.col("__at"))).orderBy("__at")
         marked = staged.withColumn("__n", F.row_number().over(order)).withColumn("__reason", reason.when(F.col("__n") > 1, F.lit("repeated in this batch")))
         if commits:
             known = self.docs.select("ext_id", F.lit(True).alias("__known"))
@@ -194,6 +229,19 @@ class Index:
             self._join(live[i], live[i + 1])
         return before, len(self.batches())
 
+    def vacuum(self) -> list[str]:
+        """Deletes the tables of batches that compaction has replaced, and what appends have staged; returns the batches. No
+        reader of an earlier snapshot, no append and no frame of refused documents may be in use."""
+        if not self._exists(f"{self.root}/commits"):
+            return []
+        rows = self.spark.read.schema(COMMIT).json(f"{self.root}/commits").collect()
+        gone = sorted({b for r in rows for b in r.replaces or []})
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in [*(f"{self.root}/{name}/{b}" for b in gone for name in ("docs", "postings", "terms")), f"{self.root}/staging"]:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        return gone
+
     def _join(self, a, b) -> None:
         batch = uuid.uuid4().hex
         try:

@@ -112,23 +112,27 @@ class Compiler:
                 out = out.join(self._rows(p.part), "doc_id", "left_anti")
         return out.select("doc_id", (F.col("score") + F.lit(float(len(nots)) if self.scored else 0.0)).alias("score"))
 
+    def _together(self, words: Counter) -> DataFrame:
+        """(doc_id, score, p0, p1, ...) of the documents with all words: their positions in one row, in the order of words."""
+        rows = self._scan(words)
+        places = [F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(f"p{i}") for i, w in enumerate(words)]
+        rows = rows.groupBy("doc_id").agg(F.sum("score").alias("score"), F.count("*").alias("n"), *places)
+        return rows.where(F.col("n") == len(words)).drop("n")
+
     def _phrase(self, node: Phrase) -> DataFrame:
-        """Documents with the words at consecutive positions: the i-th word at start + i, for as many i as there are words."""
+        """Documents with the words at consecutive positions: the starts that each word allows, met within the document's row."""
         words = Counter(node.words)
-        slots = F.array_compact(F.array(*[F.when(F.col("term") == w, F.lit(i)) for i, w in enumerate(node.words)]))
-        places = self._scan(words).select("doc_id", F.explode("positions").alias("pos"), slots.alias("slots")).select("doc_id", "pos", F.explode("slots").alias("slot"))
-        starts = places.groupBy("doc_id", (F.col("pos") - F.col("slot")).alias("start")).agg(F.count("*").alias("n")).where(F.col("n") == len(node.words))
-        return self._terms(words, True).join(starts.select("doc_id").distinct(), "doc_id", "left_semi")
+        number = {w: i for i, w in enumerate(words)}
+        starts = [F.expr(f"transform(p{number[w]}, p -> p - {i})") for i, w in enumerate(node.words)]
+        return self._together(words).where(F.size(reduce(F.array_intersect, starts)) > 0).select("doc_id", "score")
 
     def _near(self, node: Near) -> DataFrame:
-        """Documents with both words at most `distance` positions apart: positions meet in their bucket or one beside it."""
+        """Documents with both words at most `distance` positions apart: the nearest places of two words stand next to one
+        another when all are put in order."""
         words = Counter([node.left, node.right])
-        width = node.distance + 1
-        side = lambda w, at: self.postings.where(F.col("term") == w).select("doc_id", F.explode("positions").alias(at))
-        bucket = F.floor(F.col("p") / width)
-        left = side(node.left, "p").select("doc_id", "p", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-        right = side(node.right, "q").select("doc_id", "q", F.floor(F.col("q") / width).alias("bucket"))
-        hits = left.join(right, ["doc_id", "bucket"]).where(F.abs(F.col("p") - F.col("q")) <= node.distance)
         if node.left == node.right:  # a word is near itself wherever it is
             return self._terms(words, True)
-        return self._terms(words, True).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+        side = lambda name, of: F.transform(name, lambda p: F.struct(p.alias("at"), F.lit(of).alias("of")))
+        rows = self._together(words).withColumn("all", F.array_sort(F.concat(side("p0", 0), side("p1", 1))))
+        beside = F.zip_with("all", F.slice("all", F.lit(2), F.size("all")), lambda a, b: (a["of"] != b["of"]) & (b["at"] - a["at"] <= node.distance))
+        return rows.where(F.exists(beside, lambda x: F.coalesce(x, F.lit(False)))).select("doc_id", "score")

@@ -9,6 +9,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import Engine
 from .functions import stats, text
 from .functions.text import Analyzer
 from .operators import expand as expansion
@@ -19,27 +20,34 @@ from .operators.search import Facet, Filter, Searcher, SearchRequest, facet_coun
 from .operators.suggest import suggest, suggester
 from .plans.compile import Compiler
 from .plans.syntax import parse
-from .sources.files import html_fields, html_title
-from .storage import shared_dir, written
+from .sources.files import html_fields, html_title, read_documents, read_json_array, read_numbered_vectors, read_queries, read_vectors, with_vectors, write_lines
+from .storage import new_table, shared_dir, written
 
 FACETS = ("lang", "source")
 
 
 @dataclass
 class Corpus:
-    """The documents table as an index, its postings written once a session."""
+    """The documents table as an index, its postings and its dictionary written once a session."""
 
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
     analyzer: Analyzer
+    n_docs: int
+
+    def snapshot(self) -> Corpus:
+        return self
 
     def number_of_docs(self) -> int:
-        return self.docs.count()
+        return self.n_docs
 
     def frequencies(self, words: list[str]) -> dict[str, int]:
-        rows = self.postings.where(F.col("term").isin(*words)).groupBy("term").agg(F.count("*").alias("df")).collect()
-        return {r.term: r.df for r in rows}
+        plain, values = [w for w in words if ":" not in w], [w for w in words if ":" in w]
+        found = {r.term: r.df for r in self.terms.where(F.col("term").isin(*plain)).select("term", "df").collect()} if plain else {}
+        if values:
+            found |= {r.term: r.df for r in self.postings.where(F.col("term").isin(*values)).groupBy("term").agg(F.count("*").alias("df")).collect()}
+        return found
 
     def rows(self, query: str, scored: bool = True) -> DataFrame:
         compiler = Compiler(self.postings, self.docs.select("doc_id"), self.number_of_docs(), self.frequencies, self.analyzer, scored)
@@ -66,7 +74,8 @@ def corpus(spark: SparkSession, sf_dir: str, stop: bool = False, stem: bool = Fa
         rows = postings_of(tokens).unionByName(value_postings(docs, FACETS))
         # range-partitioned and sorted by term: a query's scan reads the row groups that hold its terms
         rows = written(rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
-        _held[key] = Corpus(docs, rows, terms_of(tokens), analyzer)
+        terms = written(terms_of(tokens).repartitionByRange("term").sortWithinPartitions("term"), "terms")
+        _held[key] = Corpus(docs, rows, terms, analyzer, docs.count())
     return _held[key]
 
 
@@ -348,8 +357,8 @@ _add(
     "union all select '#3(of, to)', count(distinct a.doc_id) from tk a join tk b on a.doc_id = b.doc_id and abs(a.pos - b.pos) <= 3 and b.term = 'to' where a.term = 'of' "
     "union all select 'erst haed', count(distinct doc_id) from po where term in ('erst', 'haed'))",
 )
-_add("mean_by_kind", lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean")), "select event_type, round(avg(value), 6) as mean from events group by event_type")
-_add("failure_counts", lambda s, d: table(s, d, "events").agg(F.count_if(F.col("value") > 50).alias("failed"), F.count_if(F.col("value") <= 50).alias("done")), "select cast(count(*) filter (value > 50) as bigint) as failed, cast(count(*) filter (value <= 50) as bigint) as done from events")
+_add("mean_by_kind", lambda s, d: stats.mean_by(table(s, d, "events"), "event_type", "value").select("event_type", F.round("mean", 6).alias("mean")), "select event_type, round(avg(value), 6) as mean from events group by event_type")
+_add("failure_counts", lambda s, d: stats.outcomes(table(s, d, "events"), F.col("value") > 50), "select cast(count(*) filter (value > 50) as bigint) as failed, cast(count(*) filter (value > 50 is not true) as bigint) as done from events")
 
 # cleaning
 
@@ -389,7 +398,7 @@ _add("metadata_prefix", lambda s, d: table(s, d, "part").select("p_partkey", tex
 
 
 def _ids(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "orders").select("o_orderkey", text.paper_id(F.col("o_orderdate"), F.col("o_orderkey") % 100000).alias("paper"))
+    rows = table(s, d, "orders").select("o_orderkey", text.paper_id(F.col("o_orderdate"), F.col("o_orderkey") * 37).alias("paper"))
     year, month = text.id_year_month(F.col("paper"))
     return rows.select("o_orderkey", "paper", text.age_in_years(F.when(year > 50, year - 100).otherwise(year), month, 2024, 6).alias("age"))
 
@@ -397,7 +406,7 @@ def _ids(s: SparkSession, d: str) -> DataFrame:
 _add(
     "id_date_age",
     _ids,
-    "select o_orderkey, strftime(o_orderdate, '%y%m') || '.' || lpad(cast(o_orderkey % 100000 as varchar), 5, '0') as paper, cast(floor((12 * 2024 + 6 - (12 * year(o_orderdate) + month(o_orderdate))) / 12.0 + 0.5) as bigint) as age from orders",
+    "select o_orderkey, strftime(o_orderdate, '%y%m') || '.' || lpad(cast(o_orderkey * 37 as varchar), cast(greatest(5, length(cast(o_orderkey * 37 as varchar))) as int), '0') as paper, cast(floor((12 * 2024 + 6 - (12 * year(o_orderdate) + month(o_orderdate))) / 12.0 + 0.5) as bigint) as age from orders",
 )
 _add("paging_math", lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("total")).select("o_custkey", text.total_pages(F.col("total"), 10).alias("pages"), text.page_offset(text.total_pages(F.col("total"), 10), 10).alias("last_offset")), "select o_custkey, cast(ceil(count(*) / 10.0) as bigint) as pages, cast((ceil(count(*) / 10.0) - 1) * 10 as bigint) as last_offset from orders group by o_custkey")
 _add("value_counts", lambda s, d: text.value_counts(table(s, d, "part"), lambda: F.split("p_name", " ")), "select value, cast(count(*) as bigint) as count from (select unnest(string_split(p_name, ' ')) as value from part) group by value")
@@ -468,12 +477,182 @@ s as (select ext_id, term, (1 + log10(tf)) * log10((select count(*) from c) / co
 select ext_id, round(sum(score), 6) as score from s where term in ('the', 'of') group by ext_id having count(*) = 2""",
 )
 _add("stream_ingest", _stream, _FIRST_OF)
+
+
+#: Words that the stemmer takes to "der" and "erst", by the rules for their endings.
+_STEMS = {"der": ("der", "ders", "derred", "derring", "derness", "derful"), "erst": ("erst", "ersts", "erste", "erstes", "ersted", "ersting", "erstings", "erstness", "erstful")}
+_STEM = " ".join(f"when term in ({', '.join(repr(w) for w in words)}) then '{stem}'" for stem, words in _STEMS.items())
+_add(
+    "stemmed_search",
+    lambda s, d: corpus(s, d, stem=True).rows("derring OR ersts"),
+    _prelude() + f""", st as (select doc_id, case {_STEM} end as stem from tk), sp as (select stem, doc_id, count(*) as tf from st where stem is not null group by stem, doc_id),
+ss as (select doc_id, (1 + log10(tf)) * log10((select n from n) / count(*) over (partition by stem)) as score from sp)
+select doc_id, round(sum(score), 6) as score from ss group by doc_id""",
+)
+
+# sources: files made of the fixtures, read as the library reads them
+
+
+def _folder(s: SparkSession, name: str) -> str:
+    return new_table(s, name)
+
+
+def _lines(rows: DataFrame, name: str, *more: str, compression: str | None = None) -> str:
+    """rows as JSON lines in a folder, with some other lines."""
+    path = _folder(rows.sparkSession, name)
+    write_lines(rows, path, compression)
+    if more:
+        rows.sparkSession.createDataFrame([(m,) for m in more], "value string").write.mode("append").text(path, compression=compression)
+    return path
+
+
+def _papers(s: SparkSession, d: str) -> DataFrame:
+    columns = [F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("title"), F.array("source").alias("authors"), F.col("text").alias("abstract"), F.array("lang", "source").alias("subject")]
+    return table(s, d, "documents").select(*columns)
+
+
+def _vector_lines(s: SparkSession, d: str) -> str:
+    path = _folder(s, "vectors")
+    table(s, d, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(","), F.to_json("embedding"))).write.text(path)
+    return path
+
+
+def _read_back(compression: str | None) -> Callable[[SparkSession, str], DataFrame]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        path = _lines(_papers(s, d), "lines", "{not json", '{"id": "x1", "title": "no abstract"}', '{"title": "t", "abstract": "a"}', "", compression=compression)
+        good, bad = read_documents(s, path)
+        good = good.select("id", "title", F.array_join("subject", "|").alias("rest"), F.md5("abstract").alias("text_md5"))
+        return good.unionByName(bad.select(F.lit("").alias("id"), F.lit("bad").alias("title"), F.col("reason").alias("rest"), F.md5("line").alias("text_md5")))
+
+    return run
+
+
+_READ_BACK = """select cast(doc_id as varchar) as id, lang as title, lang || '|' || source as rest, md5(text) as text_md5 from documents
+union all select '', 'bad', 'not a JSON object of documents', md5('{not json')
+union all select '', 'bad', 'no abstract', md5('{"id": "x1", "title": "no abstract"}')
+union all select '', 'bad', 'no id', md5('{"title": "t", "abstract": "a"}')"""
+_add("source_json_lines", _read_back(None), _READ_BACK)
+_add("source_gzip_lines", _read_back("gzip"), _READ_BACK)
+
+
+def _sums(rows: DataFrame, key: str) -> DataFrame:
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rows.select(F.col(key).cast("long").alias("id"), F.size("vector").cast("long").alias("dim"), F.round(total, 4).alias("total"))
+
+
+_SUMS = "cast(len(embedding) as bigint) as dim, round(list_sum(list_transform(embedding, lambda x: cast(x as double))), 4) as total"
+_add("source_vectors", lambda s, d: _sums(read_vectors(s, _vector_lines(s, d)), "id"), f"select vec_id as id, {_SUMS} from embeddings")
+
+
+def _numbered_vectors(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "vectors")
+    rows = table(s, d, "embeddings").orderBy("vec_id").coalesce(1).select(F.concat(F.lit("any,"), F.to_json("embedding")))
+    rows.write.text(path)
+    return _sums(read_numbered_vectors(s, path), "id")
+
+
+_add("source_numbered_vectors", _numbered_vectors, f"select row_number() over (order by vec_id) - 1 as id, {_SUMS} from embeddings")
+
+
+def _json_array(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "array")
+    rows = table(s, d, "nation").agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"))))))
+    rows.write.text(path)
+    return read_json_array(s, path, "code long, name string")
+
+
+_add("source_json_array", _json_array, "select cast(n_nationkey as bigint) as code, n_name as name from nation")
 _add(
     "vector_align",
-    lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id").select("doc_id", F.size("embedding").cast("long").alias("dim")), "doc_id"),
-    "select doc_id, cast(len(embedding) as bigint) as dim from documents join embeddings on vec_id = doc_id",
+    lambda s, d: _sums(with_vectors(_papers(s, d), read_vectors(s, _vector_lines(s, d)).join(_papers(s, d).select("id"), "id", "left_semi")), "id"),
+    f"select doc_id as id, {_SUMS} from documents join embeddings on vec_id = doc_id",
+)
+
+
+def _bulk(s: SparkSession, d: str, **more) -> Engine:
+    engine = Engine(s, _folder(s, "engine"), dimension=64, **more)
+    ids = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"))
+    lines = _papers(s, d).join(ids, "id", "left_semi").select("id", "title", "authors", "abstract", "subject")
+    engine.bulk_add(_lines(lines, "lines", "{not json", compression="gzip"), _vector_lines_of(s, d))
+    return engine
+
+
+def _vector_lines_of(s: SparkSession, d: str) -> str:
+    """Vectors of the documents that there are."""
+    path = _folder(s, "vectors")
+    found = table(s, d, "embeddings").join(table(s, d, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    found.select(F.concat(F.col("vec_id").cast("string"), F.lit(","), F.to_json("embedding"))).write.text(path)
+    return path
+
+
+_BOTH = "documents join embeddings on vec_id = doc_id"
+_add("bulk_add", lambda s, d: _bulk(s, d).index.docs.select(F.col("ext_id").alias("id"), "title", F.size("vector").cast("long").alias("dim")), f"select cast(doc_id as varchar) as id, lang as title, cast(len(embedding) as bigint) as dim from {_BOTH}")
+
+
+def _natural(s: SparkSession, d: str) -> DataFrame:
+    vector = _vector(s, d)
+    found = _bulk(s, d, embedder=lambda query: vector).search(SearchRequest("two words", max_results=5, max_distance=0.9, fields=["title"]))
+    return found.hits.select(F.col("id").cast("long").alias("id"), F.round("score", 5).alias("score"), "title")
+
+
+_add(
+    "natural_vector_search",
+    _natural,
+    f"select doc_id as id, round(1 - distance, 5) as score, lang as title from (select *, greatest(0.0, list_cosine_distance(cast(embedding as double[]), cast((select embedding from embeddings where vec_id = 0) as double[]))) as distance from {_BOTH}) where distance <= 0.9 order by distance, doc_id limit 5",
+)
+
+
+def _vector_guard(s: SparkSession, d: str) -> DataFrame:
+    """Vectors of another length than the index has are refused, one by one."""
+    index = Index(s, _folder(s, "index"), dimension=64)
+    rows = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.lit("t").alias("title"), F.lit("a").alias("abstract"), F.when(F.col("label") == 3, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")).alias("vector"))
+    _, refused = index.add(rows)
+    return index.docs.select("ext_id", F.lit("kept").alias("what")).unionByName(refused.select("ext_id", F.col("reason").alias("what")))
+
+
+_add("vector_guard", _vector_guard, "select cast(vec_id as varchar) as ext_id, case when label = 3 then 'vector of wrong length' else 'kept' end as what from embeddings")
+
+
+def _query_log(s: SparkSession, d: str) -> DataFrame:
+    """A log of the words' frequencies, read back and replayed: its first queries by name."""
+    path = _folder(s, "log")
+    counts = corpus(s, d).terms.where("df >= 100").select("term", "df")
+    counts.select(F.concat("term", F.lit(","), F.col("df").cast("string"))).write.text(path)
+    return read_queries(s, path)
+
+
+_add("source_query_log", _query_log, _prelude() + "select term as query, cast(count(*) as bigint) as expected_hits from po group by term having count(*) >= 100")
+_add(
+    "query_log_agrees",
+    lambda s, d: replay(Searcher(corpus(s, d)), [(r.query, r.expected_hits) for r in _query_log(s, d).orderBy(F.desc("expected_hits"), "query").limit(5).collect()], max_results=1).select("query", "hits", "agrees"),
+    _prelude() + "select term as query, cast(count(*) as bigint) as hits, true as agrees from po group by term order by count(*) desc, term limit 5",
 )
-_add("stemmed_search", lambda s, d: corpus(s, d, stem=True).rows("things OR thing"))
+
+
+def _page_fields(s: SparkSession, d: str) -> DataFrame:
+    part = lambda name, label, value: F.concat(F.lit(f'<div class="x {name}"><span>{label}</span>\n'), value, F.lit("</div>"))
+    html = F.concat(F.lit('<html><body><div class="dateline">[19 Nov]</div>'), part("title", "Title:", F.col("p_name")), part("authors", "Authors:", F.concat(F.lit("<a>"), F.col("p_brand"), F.lit("</a>, Zed"))), part("abstract", "Abstract:", F.col("p_type")), F.lit("<table><tr><td class=subjects>cs.IR</td></tr></table></body></html>"))
+    return table(s, d, "part").select("p_partkey", html_fields(html).alias("f")).select("p_partkey", "f.*")
+
+
+_add("page_metadata", _page_fields, "select p_partkey, '[19 Nov]' as date, p_name as title, p_brand || ', Zed' as authors, p_type as abstract, 'cs.IR' as subject from part")
+
+
+def _nested(s: SparkSession, d: str) -> DataFrame:
+    deep = F.concat(F.lit("A"), F.repeat(F.lit("("), F.col("s_suppkey").cast("int") % 30), F.lit("x"), F.repeat(F.lit(")"), F.col("s_suppkey").cast("int") % 30), F.lit(" B, C) D (E"))
+    return table(s, d, "supplier").select("s_suppkey", text.without_parentheses(deep).alias("rest"))
+
+
+_add("nested_parentheses", _nested, "select s_suppkey, 'A' || case when s_suppkey % 30 = 0 then 'x' else '' end || ' B, C) D (E' as rest from supplier")
+
+
+def _no_codes(s: SparkSession, d: str) -> DataFrame:
+    lookup = table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"))
+    rows = table(s, d, "customer").select((F.col("c_custkey") % 100).alias("id"), F.when(F.col("c_nationkey") < 5, F.lit("")).otherwise(F.col("c_nationkey").cast("string")).alias("codes"))
+    return text.map_codes(rows, "id", text.split_codes(F.col("codes")), lookup).select("id", F.array_join("names", "|").alias("names"))
+
+
+_add("subjects_of_every_row", _no_codes, "select c_custkey % 100 as id, case when c_nationkey < 5 then '' else n_name end as names from customer join nation on n_nationkey = c_nationkey")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

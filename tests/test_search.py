@@ -209,3 +209,57 @@ def test_replay(spark, index):
     rows = replay(Searcher(index), [("alpha", len(brute(lambda t: "alpha" in t))), ("NOT alpha", 0), *((q, None) for q in log)]).collect()
     assert [r.agrees for r in rows] == [True, False] + [True] * 12
     assert len(rows) == 14 and all(r.seconds > 0 for r in rows)
+
+
+def test_one_snapshot_a_search(spark, tmp_path):
+    x = Index(spark, str(tmp_path / "index"))
+    rows = spark.createDataFrame(documents(), SCHEMA)
+    x.add(rows.where("cast(substr(id, 2) as int) < 10"))
+    before = x.snapshot()
+    x.add(rows)
+    x.compact(1)
+    assert (before.number_of_docs(), before.docs.count(), x.number_of_docs()) == (10, 10, 40)
+    words = {r.term: r.df for r in before.terms.collect() if ":" not in r.term}
+    assert before.frequencies(sorted(words)) == words
+    assert max(words.values()) <= 10
+    assert Searcher(before).search(SearchRequest("alpha OR beta")).total_hits <= 10
+    gone = x.vacuum()
+    assert len(gone) == 2
+    assert not any((tmp_path / "index" / "postings" / b).exists() for b in gone)
+    assert not (tmp_path / "index" / "staging").exists()
+    assert x.docs.count() == 40
+
+
+def test_rows_without_ids_are_refused(spark, tmp_path):
+    x = Index(spark, str(tmp_path / "index"))
+    rows = spark.createDataFrame([(None, "t", "a")] * 3 + [("1", "t", "a")], "id string, title string, abstract string")
+    n, refused = x.add(rows)
+    assert n == 1
+    assert [(r.ext_id, r.reason) for r in refused.collect()] == [(None, "no id")] * 3
+
+
+@pytest.mark.parametrize(
+    "wrong",
+    [{"max_distance": -1}, {"max_distance": "far"}, {"fields": "title"}, {"fields": [1]}, {"facets": ["authors"]}, {"facets": [Facet("authors", -1)]}, {"filters": [Filter("subject", None)]}, {"filters": [("a", "b")]}, {"score": "yes"}, {"max_results": 1.5}],
+)
+def test_requests_are_checked(wrong):
+    with pytest.raises(QueryError):
+        SearchRequest("alpha", **wrong)
+
+
+def test_natural_queries_by_vectors(spark, index):
+    found = Searcher(index, lambda query: [1.0, 1.0]).search(SearchRequest("alpha beta", max_results=3, facets=[Facet("authors")], fields=["title"]))
+    cosine = lambda i: (i + 1) / math.sqrt(2 * (i * i + 1))
+    best = sorted(range(40), key=lambda i: -cosine(i))[:3]
+    assert [r.id for r in found.hits.collect()] == [f"d{i}" for i in best]
+    assert found.total_hits == 40
+    assert {r.value: r["count"] for r in found.facets.collect()} == {"Ann Lee": 40, "Bo": 20}
+    assert ids(index, "alpha beta", use_vectors=False) == brute(lambda t: "alpha" in t or "beta" in t)
+
+
+def test_no_positions_are_shuffled_apart(index):
+    """Phrases and proximity meet within a document's row: one exchange, no join and no explode."""
+    for query in ('"alpha beta gamma"', "#3(alpha, beta)"):
+        plan = Searcher(index).matches(SearchRequest(query))[0]._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan
+        assert "Join" not in plan

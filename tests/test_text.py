@@ -55,7 +55,22 @@ def test_map_codes(spark):
         text.map_codes(rows, "id", text.split_codes(F.lit("z")), lookup)
 
 
+def test_rows_without_codes(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, ""), (3, None), (4, "z b")], "id int, codes string")
+    lookup = spark.createDataFrame([("a", "Alpha"), ("b", "Beta")], "code string, name string")
+    found = text.map_codes(rows, "id", text.split_codes(F.col("codes")), lookup, strict=False).collect()
+    assert sorted((r.id, r.names) for r in found) == [(1, ["Alpha"]), (1, ["Beta"]), (2, []), (3, []), (4, ["Beta"])]
+
+
+def test_deep_parentheses(spark):
+    deep = "a" + "(" * 40 + "x" + ")" * 40 + "b ((c) d"
+    assert one(spark, deep, text.without_parentheses) == "ab ( d"
+    assert one(spark, ") a (b) (", text.without_parentheses) == ") a  ("
+
+
 def test_dates(spark):
+    long = spark.range(1).select(text.paper_id(F.to_date(F.lit("2024-03-01")), F.lit(123456)).alias("p")).first()
+    assert long.p == "2403.123456"
     row = spark.range(1).select(text.paper_id(F.to_date(F.lit("2021-03-01")), F.lit(42)).alias("p")).first()
     assert row.p == "2103.00042"
     year, month = text.id_year_month(F.lit("arXiv:2103.00042"))
