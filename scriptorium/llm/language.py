@@ -12,7 +12,8 @@ text, then by name. The score is the share of the decided language in all correc
 
 Texts that are null or have no letter give "und" and 0. Texts with letters of which no n-gram is known give the language
 with most training text and 0. Rows without lang are not learned from; without any, every prediction is "und". Repeated
-rows count and are predicted once each. Other columns are ignored.
+rows count and are predicted once each. More than MOST_LANGUAGES languages are an error, since the filters' size grows with
+them. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .common import crc_mod, cut, mix, read_table, slices, word_hashes
 LENGTHS = (3, 4, 5)
 LEAST_RATE, LEAST_SHARE = 2e-5, 0.1
 HASHES, SLOTS_EACH = 3, 12
+MOST_LANGUAGES = 1024
 
 
 def word_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,13 +159,15 @@ def build(rows: pd.DataFrame, totals: dict[str, float], least_share: float = LEA
 def train(docs: DataFrame, least_rate: float = LEAST_RATE) -> Filters | None:
     """Filters learned from docs (lang, text); None without any labelled n-gram."""
     counts = cut(gram_counts(docs.where("lang is not null and text is not null")), "grams")
-    totals = {r.lang: float(r.n) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    sums = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = {r.lang: float(r.total) for r in sums.limit(MOST_LANGUAGES + 1).collect()}
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: lang holds something else")
     if not totals:
         return None
-    least = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, max(2.0, least_rate * n))])
     # at most 1 / least_rate rows a language
-    kept = counts.where(F.col("n") >= least[F.col("lang")]).toPandas()
-    return build(kept, totals)
+    kept = counts.join(sums, "lang").where(F.col("n") >= F.greatest(F.lit(2.0), least_rate * F.col("total")))
+    return build(kept.select("lang", "key", "n").toPandas(), totals)
 
 
 def language_of(text: Column, filters: Filters | None) -> Column:

@@ -779,6 +779,52 @@ def test_language_edges(spark):
     assert edges(spark).select(language.language_of(F.col("text"), None).alias("x")).where("x.lang <> 'und'").count() == 0
 
 
+def test_language_against_plain_sets(spark):
+    """The same decisions by sets of n-grams without Bloom filters."""
+    rows = {r.doc_id: r for r in table(spark, "documents").collect()}
+
+    def grams(t):
+        out = Counter()
+        for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").lower().encode()):
+            w = b" " + w + b" "
+            out.update(w[i : i + n] for n in language.LENGTHS for i in range(len(w) - n + 1))
+        return out
+
+    counts = {}
+    for d, r in rows.items():
+        if zlib.crc32(str(d).encode()) % 3 != 1 and r.lang is not None:
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+    totals = {x: sum(c.values()) for x, c in counts.items()}
+    rates = {x: {g: n / totals[x] for g, n in c.items() if n >= max(2, language.LEAST_RATE * totals[x])} for x, c in counts.items()}
+    top = Counter()
+    for own in rates.values():
+        for g, rate in own.items():
+            top[g] = max(top[g], rate)
+    sets = {x: {g for g, rate in own.items() if rate >= language.LEAST_SHARE * top[g]} for x, own in rates.items()}
+    order = sorted(totals, key=lambda x: (-totals[x], x))
+    found, same = {r.doc_id: r for r in language.op9_language(spark, SF).collect()}, 0
+    for d, r in rows.items():
+        if not re.search(r"[^\W\d_]", r.text or ""):
+            assert (found[d].lang_pred, found[d].score) == ("und", 0)
+            continue
+        own = grams(r.text)
+        hits = {x: sum(n for g, n in own.items() if g in sets[x]) for x in order}
+        best = max(order, key=lambda x: hits[x])
+        close = sorted(hits.values())[-1] - sorted(hits.values())[-2] < 0.02 * sum(own.values()) + 1
+        assert close or found[d].lang_pred == best
+        same += found[d].lang_pred == best
+        if sum(own.values()) > 200 and not close:
+            assert found[d].score == pytest.approx(hits[best] / sum(hits.values()), abs=0.03)
+    assert same >= 0.98 * len(rows)
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    docs = spark.createDataFrame([(x, f"text {x}") for x in "abc"], "lang string, text string")
+    with pytest.raises(ValueError, match="more than 2"):
+        language.train(docs)
+
+
 def test_no_filter_misses_its_grams(spark):
     import pandas as pd
 
