@@ -360,8 +360,10 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     over = components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("over"))
     known = roots.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
     roots = cut(known.union(over.select(F.col("root").alias("node"), F.col("over").alias("root"))), "roots")
+    # as tables, so that joins on the root of a very large class can be split
     classes = contents.select("content", "first_id").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-    ids = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    classes = cut(classes, "classes")
+    ids = cut(classes.groupBy("root").agg(F.min("first_id").alias("class_id")), "ids")
     ids = classes.join(ids, "root").select("content", "root", "class_id")
     return signed.select("doc_id", "text_hash", "content").join(ids, "content", "left").withColumn("class_id", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
 
@@ -376,7 +378,8 @@ def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     one, and of equal rows one. Rows without words all stay."""
     rows = _classes(docs, least).where("content is not null").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
-    best = rows.groupBy("root").agg(F.min(rank).alias("best"))
+    rows = cut(rows, "rows")
+    best = cut(rows.groupBy("root").agg(F.min(rank).alias("best")), "best")
     # what happens to the rows of an id and text, unless it's one row that stays
     fate = rows.join(best, "root").withColumn("stays", rank == F.col("best")).where("not stays or n > 1")
     fate = fate.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("stays").alias("__stays"))
