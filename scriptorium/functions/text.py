@@ -90,6 +90,11 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"\."), lambda s: s != "")
 
 
+def sentence_texts(text: Column) -> Column:
+    """Sentences with their stops: cut where white space follows a full stop, an exclamation mark or a question mark."""
+    return F.filter(F.split(F.regexp_replace(strip(text), r"([.!?])\s+", "$1\x01"), "\x01"), lambda s: s != "")
+
+
 _SPACE = r"(?U)\s+"
 _MARKS = r"[!|\"£$%^&*()_+=}{\[\]~:;><.,/']"
 

@@ -12,9 +12,12 @@ half a batch, and compaction writes a new batch whose record names those it repl
 
 from __future__ import annotations
 
+import contextlib
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,8 +122,9 @@ class Snapshot:
 class Index:
     """An index in a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, root: str, facets: Sequence[str] = ("authors", "subject"), text_fields: Sequence[str] = ("title", "authors", "abstract", "subject", "body"), analyzer: Analyzer | None = None, dimension: int | None = None):
+    def __init__(self, spark: SparkSession, root: str, facets: Sequence[str] = ("authors", "subject"), text_fields: Sequence[str] = ("title", "authors", "abstract", "subject", "body"), analyzer: Analyzer | None = None, dimension: int | None = None, wait_seconds: float = 600, stale_seconds: float = 6 * 3600):
         self.spark, self.root = spark, root.rstrip("/")
+        self.wait_seconds, self.stale_seconds = wait_seconds, stale_seconds
         self.facets, self.text_fields = tuple(facets), tuple(text_fields)
         self.analyzer, self.dimension = analyzer or Analyzer(), dimension
 
@@ -173,10 +177,34 @@ class Index:
 
     # writing
 
+    @contextlib.contextmanager
+    def _writing(self) -> Iterator[None]:
+        """One writer at a time: a file that only one can create. One left by a writer that died goes after `stale_seconds`."""
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.root}/writer")
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        until = time.time() + self.wait_seconds
+        while not fs.createNewFile(path):
+            with contextlib.suppress(Py4JJavaError):  # it may go meanwhile
+                if time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > self.stale_seconds:
+                    fs.delete(path, False)
+                    continue
+            if time.time() > until:
+                raise IndexStateError("another writer is at work")
+            time.sleep(0.2)
+        try:
+            yield
+        finally:
+            fs.delete(path, False)
+
     def add(self, docs: DataFrame, id_column: str = "id") -> tuple[int, DataFrame]:
         """Appends documents; returns how many were new, and the others as (ext_id, reason). Ids that are there already stay as
         they are; of equal ids in docs the first row is kept; vectors of another length than the first
         are refused; null ids are refused."""
+        with self._writing():
+            return self._add(docs, id_column)
+
+    def _add(self, docs: DataFrame, id_column: str = "id") -> tuple[int, DataFrame]:
         commits = self.commits()
         fields = [c for c in docs.columns if c != id_column]
         staged_path = f"{self.root}/staging/{uuid.uuid4().hex}"
@@ -222,12 +250,13 @@ class Index:
 
     def compact(self, target: int = 1) -> tuple[int, int]:
         """Joins the smallest adjacent pairs of batches until `target` are left; returns their number before and after."""
-        before = len(self.batches())
-        while len(live := self.commits()) > max(1, target):
-            pairs = [(live[i].n_docs + live[i + 1].n_docs, i) for i in range(len(live) - 1)]
-            i = min(pairs)[1]
-            self._join(live[i], live[i + 1])
-        return before, len(self.batches())
+        with self._writing():
+            before = len(self.batches())
+            while len(live := self.commits()) > max(1, target):
+                pairs = [(live[i].n_docs + live[i + 1].n_docs, i) for i in range(len(live) - 1)]
+                i = min(pairs)[1]
+                self._join(live[i], live[i + 1])
+            return before, len(self.batches())
 
     def vacuum(self) -> list[str]:
         """Deletes the tables of batches that compaction has replaced, and what appends have staged; returns the batches. No

@@ -20,6 +20,7 @@ from .operators.search import Facet, Filter, Searcher, SearchRequest, facet_coun
 from .operators.suggest import suggest, suggester
 from .plans.compile import Compiler
 from .plans.syntax import parse
+from .sources.crawl import CrawlSource
 from .sources.files import html_fields, html_title, read_documents, read_json_array, read_numbered_vectors, read_queries, read_vectors, with_vectors, write_lines
 from .storage import new_table, shared_dir, written
 
@@ -638,6 +639,25 @@ def _page_fields(s: SparkSession, d: str) -> DataFrame:
 _add("page_metadata", _page_fields, "select p_partkey, '[19 Nov]' as date, p_name as title, p_brand || ', Zed' as authors, p_type as abstract, 'cs.IR' as subject from part")
 
 
+def crawled_page(paper: str) -> str | None:
+    """A page for every id but those of a number that three divides."""
+    return None if int(paper[5:]) % 3 == 0 else f'<div class="dateline">[{paper[:4]}]</div><h1 class="title"><span>Title:</span> Paper {paper}</h1><div class="authors">Authors: A, B</div>'
+
+
+def _crawl(s: SparkSession, d: str) -> DataFrame:
+    s.dataSource.register(CrawlSource)
+    found = s.read.format("crawl").options(fetch="scriptorium.queries:crawled_page", month="2403", first=1, last=1000, ids_a_task=300).load()
+    return found.join(table(s, d, "supplier").select(F.concat(F.lit("2403."), F.lpad(F.col("s_suppkey").cast("string"), 5, "0")).alias("id")), "id", "left_semi")
+
+
+_add("crawl_source", _crawl, "select '2403.' || lpad(cast(s_suppkey as varchar), 5, '0') as id, '[2403]' as date, 'Paper 2403.' || lpad(cast(s_suppkey as varchar), 5, '0') as title, 'A, B' as authors, cast(null as varchar) as abstract, cast(null as varchar) as subject from supplier where s_suppkey between 1 and 1000 and s_suppkey % 3 <> 0")
+_add(
+    "sentence_texts",
+    lambda s, d: table(s, d, "documents").select("doc_id", text.sentence_texts(F.col("text")).alias("x")).select("doc_id", F.size("x").cast("long").alias("n"), F.md5(F.array_join("x", "|")).alias("text_md5")),
+    "select doc_id, cast(len(x) as bigint) as n, md5(array_to_string(x, '|')) as text_md5 from (select doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') as x from documents)",
+)
+
+
 def _nested(s: SparkSession, d: str) -> DataFrame:
     deep = F.concat(F.lit("A"), F.repeat(F.lit("("), F.col("s_suppkey").cast("int") % 30), F.lit("x"), F.repeat(F.lit(")"), F.col("s_suppkey").cast("int") % 30), F.lit(" B, C) D (E"))
     return table(s, d, "supplier").select("s_suppkey", text.without_parentheses(deep).alias("rest"))

@@ -117,24 +117,26 @@ class _ByClass(HTMLParser):
                 self.found[n].append(data)
 
 
+def page_fields(page: str | None, classes: tuple[str, ...]) -> list[str | None]:
+    """The text of the first element of each class in a page, without its label; None where there is none."""
+    parser = _ByClass(frozenset(classes))
+    parser.feed(page or "")
+    parser.close()
+    row = []
+    for c in classes:
+        text = "".join(parser.found[c]) if c in parser.found else None
+        label = PAGE_FIELDS.get(c, ("", ""))[1]
+        row.append(text.replace(label, "").replace("\n", " ").strip() if text is not None else None)
+    return row
+
+
 def html_fields(html: Column, classes: tuple[str, ...] = tuple(PAGE_FIELDS)) -> Column:
     """struct of the text of the first element of each class; null where a page has none. Names: those of PAGE_FIELDS, or the class."""
     names = [PAGE_FIELDS[c][0] if c in PAGE_FIELDS else c for c in classes]
 
     @F.pandas_udf(", ".join(f"`{n}` string" for n in names))
     def run(pages: pd.Series) -> pd.DataFrame:
-        out = []
-        for page in pages:
-            parser = _ByClass(frozenset(classes))
-            parser.feed(page or "")
-            parser.close()
-            row = []
-            for c in classes:
-                text = "".join(parser.found[c]) if c in parser.found else None
-                label = PAGE_FIELDS.get(c, ("", ""))[1]
-                row.append(text.replace(label, "").replace("\n", " ").strip() if text is not None else None)
-            out.append(row)
-        return pd.DataFrame(out, columns=names, dtype="object")
+        return pd.DataFrame([page_fields(page, classes) for page in pages], columns=names, dtype="object")
 
     return run(html)
 

@@ -263,3 +263,15 @@ def test_no_positions_are_shuffled_apart(index):
         plan = Searcher(index).matches(SearchRequest(query))[0]._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan
         assert "Join" not in plan
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    root = str(tmp_path / "index")
+    x, y = (Index(spark, root, wait_seconds=0.5) for _ in range(2))
+    rows = spark.createDataFrame([("1", "t", "a")], "id string, title string, abstract string")
+    with x._writing(), pytest.raises(IndexStateError):
+        y.add(rows)
+    assert y.add(rows)[0] == 1
+    (tmp_path / "index" / "writer").touch()
+    y.stale_seconds = -1
+    assert y.add(rows)[0] == 0
