@@ -17,8 +17,15 @@ they are: shingles are put in one order, rarest first. Let a and b be the shares
 shingle they have in common. If x and y have all their shingles once, they share C = min((1 - a)|x|, (1 - b)|y|) at most,
 so J_P <= C / (|x| + |y| - C); otherwise J_P <= (1 - a)(1 - b) / (1 - a b). Contents in different classes that have a
 shingle in common for which that bound is at least 0.8 are compared, and no pair at 0.8 is left out. The first bound also
-limits the partner's size, by which the join is dealt: a copy that is too far from its leader, and holds nothing rare that
-another copy holds, meets none of them. Work grows with the pairs within the bound, not with bucket members squared.
+limits the partner's size, by which the join is dealt.
+
+Copies in a large group have most of their shingles in common, so that bound lets each that is too far from its leader meet
+all others. So contents with the same leader c, where none of the three has a shingle twice, meet by their differences from
+c instead: |x ^ y| = |x ^ c| + |y ^ c| - 2 |(x ^ c) & (y ^ c)| for any sets, and x and y are at 0.8 where |x ^ y| is at most
+(|x| + |y|) / 9. Where they are in different classes, one of them is not linked to c, and then their differences have to share
+so many shingles that the first is one of few, rarest first. Copies whose edits have little in common never meet, and no pair
+at 0.8 is left out.
+Work grows with the pairs within these bounds, not with bucket members squared.
 No bucket is capped. A pair at 0.8 exactly meets in some bucket with probability 1 - (1 - 0.8^4)^20 > 0.99997.
 
 Documents without words (null, empty, white space) have no shingles: each is a class of its own. Rows that share a doc_id
@@ -122,11 +129,12 @@ def _stretches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBa
             yield rows.slice(part.start, part.stop - part.start), texts[part]
 
 
-SIGNATURE = "doc_id long, text_hash long, content binary, bands array<long>"
+SIGNATURE = "doc_id long, text_hash long, content binary, plain boolean, bands array<long>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, content, bands) of docs (doc_id, text); content is null for documents without words."""
+    """(doc_id, text_hash, content, plain, bands) of docs (doc_id, text); content is null for documents without words, and
+    those whose shingles all occur once are plain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,10 +146,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                     for i in range(BAND_ROWS):
                         bands = mix(bands * np.uint64(31) + kept[:, i::BAND_ROWS])
                 some = np.bincount(owner, minlength=len(own)) > 0
+                plain = np.bincount(owner, count > 1, len(own)) == 0
                 ids = [x.tobytes() if y else None for x, y in zip(content, some, strict=True)]
                 offsets = pa.array(np.arange(0, len(own) * BANDS + 1, BANDS), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, pa.binary()), lists], ["doc_id", "text_hash", "content", "bands"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, pa.binary()), pa.array(plain), lists], ["doc_id", "text_hash", "content", "plain", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SIGNATURE)
 
@@ -263,11 +272,10 @@ GROWTH = 1.05  # of the sizes of one step; sizes within a step are told apart by
 UNSIZED, ANY = -1, -2
 
 
-def _heads(contents: DataFrame, least: float) -> DataFrame:
-    """(element, last, before, size, content, root) of contents (content, root, elements, counts): the shingles that can be the
-    first that a content has in common with another at `least`, the one before it in their order (0: none), and the share of
-    the content that comes before; size is null if a shingle is repeated. Shingles of one content are left out."""
-    common = contents.sparkSession.sparkContext.broadcast(_common(contents))
+def _heads(contents: DataFrame, common, least: float) -> DataFrame:
+    """(element, last, before, size, content, root, lead) of contents (content, root, lead, elements, counts): the shingles that
+    can be the first that a content has in common with another at `least`, the one before it in their order (0: none), and the
+    share of the content that comes before; size is null if a shingle is repeated. Shingles of one content are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,34 +294,88 @@ def _heads(contents: DataFrame, least: float) -> DataFrame:
             at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
             element, last, before, size = (np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in ((found, np.int64), (lasts, np.int64), (shares, float), (sizes, np.int64)))
             columns = [pa.array(element), pa.array(last), pa.array(before), pa.array(size, mask=size == 0)]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(at), batch.column(1).take(at)], ["element", "last", "before", "size", "content", "root"])
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(i).take(at) for i in (0, 1, 4))], ["element", "last", "before", "size", "content", "root", "lead"])
+
+    return contents.select("content", "root", "elements", "counts", "lead").mapInArrow(run, "element long, last long, before double, size long, content binary, root binary, lead binary")
+
+
+DIFFERENCE = "lead binary, element long, last long, before long, apart long, size long, far boolean, content binary, root binary"
+
+
+def _differences(contents: DataFrame, some: DataFrame, common, least: float) -> DataFrame:
+    """DIFFERENCE of contents (content, root, lead, elements), whose shingles and their leader's all occur once: of the `apart`
+    shingles that only one of a content and its leader has, those that can be the first that it shares with the difference of
+    another content of that leader, and how many come `before`. Those that few of the leader's contents have in their
+    differences come first: for shingles of the leader, that is those that most of its contents have too."""
+    s = (1 - least) / (1 + least)
+    names = [x.split()[0] for x in DIFFERENCE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for i, (elements, lead, led) in enumerate(zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True)):
+                own, other = np.frombuffer(elements, np.uint64), np.frombuffer(lead, np.uint64)
+                only = np.setxor1d(own, other, assume_unique=True)
+                lacking = np.isin(only, other, assume_unique=True)
+                times = common.value[_slot(only)].astype(np.int64)
+                order = np.lexsort((only, np.where(lacking, led - times, times)))
+                n, apart = len(own) + len(other), len(only)
+                both = (n - apart) // 2
+                far = both / (n - both) < least
+                need = (apart - s * n) / (1 + s) if far else (1 - s) * apart / 2
+                on = np.flatnonzero((np.arange(apart) <= apart - need + 1e-6) & (lacking | (times > 1))[order])
+                element = only[order[on]].view(np.int64)
+                rows.append(np.full(len(on), i))
+                found.append(np.stack([element, np.concatenate([[0], element[:-1]])[: len(on)], on, *(np.full(len(on), x) for x in (apart, len(own), far))]))
+            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            values = np.concatenate(found, axis=1).astype(np.int64) if found else np.zeros((6, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(at), *map(pa.array, values[:5]), pa.array(values[5] > 0), batch.column(0).take(at), batch.column(1).take(at)], names)
 
-    return contents.select("content", "root", "elements", "counts").mapInArrow(run, "element long, last long, before double, size long, content binary, root binary")
+    leaders = some.select(F.col("content").alias("lead"), F.col("elements").alias("of_lead")).join(contents.groupBy("lead").agg(F.count("*").alias("led")), "lead")
+    leaders = cut(leaders, "leading")
+    own = contents.where("lead != content").select("content", "root", "lead", "elements")
+    return own.join(leaders, "lead").select("content", "root", "lead", "elements", "of_lead", "led").mapInArrow(run, DIFFERENCE)
+
+
+def _beside_leaders(contents: DataFrame, some: DataFrame, common, least: float) -> DataFrame:
+    """All pairs (x, y) of contents with the same leader in different classes (rx, ry) that can be at `least`. Each has been
+    compared with the leader, so that one of the two is far from it: it has to share a part of its difference."""
+    heads = cut(_differences(contents, some, common, least), "differences")
+    x, y = (heads.select("lead", "element", *(F.col(c).alias(a + side) for c, a in (("last", "l"), ("before", "b"), ("apart", "d"), ("size", "s"), ("far", "f"), ("root", "r"))), F.col("content").alias(side)) for side in "xy")
+    shared = f"2 * least(dx - bx, dy - by) >= dx + dy - {(1 - least) / (1 + least)} * (sx + sy) - 1e-6"
+    pairs = x.where("fx").join(y, ["lead", "element"]).where(f"rx != ry and (not fy or x > y) and (lx != ly or lx = 0) and {shared}")
+    return pairs.select("x", "y", "rx", "ry")
 
 
 def _step(size: Column) -> Column:
     return F.floor(F.log(size) / F.lit(float(np.log(GROWTH)))).cast("int")
 
 
-def _meeting(contents: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b) of contents (content, root, elements, counts) in different classes (ra, rb) that can be at `least`."""
-    heads = cut(_heads(contents, least), "heads")
-    # members of an element's largest class needn't meet each other
-    classes = heads.groupBy("element", "root").agg(F.count("*").alias("n")).groupBy("element").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("classes"))
-    heads = heads.join(classes.where("classes > 1"), "element").withColumn("largest", F.col("root") == F.col("most"))
+def _meeting(contents: DataFrame, some: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of contents (content, root, lead, elements, counts) in different classes (ra, rb) that can be at `least`;
+    lead is the leader that a content has been compared with, where neither has a shingle twice, and some holds its shingles."""
+    common = contents.sparkSession.sparkContext.broadcast(_common(contents))
+    heads = cut(_heads(contents, common, least), "heads")
+    # members of an element's largest class needn't meet each other, and those of its largest leader meet beside that
+    mosts = heads.groupBy("element", "root", "lead").agg(F.count("*").alias("n"))
+    classes = mosts.groupBy("element", "root").agg(F.sum("n").alias("n")).groupBy("element").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("classes"))
+    leads = mosts.where("lead is not null").groupBy("element", "lead").agg(F.sum("n").alias("n")).groupBy("element").agg(F.max_by("lead", F.struct("n", "lead")).alias("most_led"))
+    heads = heads.join(classes.where("classes > 1").join(leads, "element", "left"), "element")
+    heads = heads.withColumn("largest", (F.col("root") == F.col("most")).cast("int") + F.when(F.col("lead") == F.col("most_led"), 2).otherwise(0))
     # of a pair, the content with the lesser share before has (1 - least) / (1 + least) at most; it goes by its own size
-    x = heads.where(F.col("before") <= (1 - least) / (1 + least) + 1e-9).withColumn("largest", F.explode(F.when(F.col("largest"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    x = heads.where(F.col("before") <= (1 - least) / (1 + least) + 1e-9).withColumn("largest", F.explode(F.filter(F.array(*map(F.lit, range(4))), lambda k: k.bitwiseAND(F.col("largest")) == 0)))
     x = x.withColumn("step", F.explode(F.array(F.coalesce(_step(F.col("size")), F.lit(UNSIZED)), F.lit(ANY))))
-    x = x.select("element", "largest", "step", F.col("last").alias("lx"), F.col("before").alias("bx"), F.col("size").alias("sx"), F.col("content").alias("x"), F.col("root").alias("rx"))
+    x = x.select("element", "largest", "step", F.col("last").alias("lx"), F.col("before").alias("bx"), F.col("size").alias("sx"), F.col("content").alias("x"), F.col("root").alias("rx"), F.col("lead").alias("gx"))
     # and the other to all sizes within the bound
     smallest, greatest = F.col("size") * least, F.col("size") * ((1 - F.col("before")) * (1 + least) / least - 1)
     sizes = F.when(greatest * (1 + 1e-9) < smallest, F.array(F.lit(UNSIZED))).otherwise(F.concat(F.sequence(_step(smallest * (1 - 1e-9)), _step(greatest * (1 + 1e-9))), F.array(F.lit(UNSIZED))))
     y = heads.withColumn("step", F.explode(F.when(F.col("size").isNull(), F.array(F.lit(ANY))).otherwise(sizes)))
-    y = y.select("element", "largest", "step", F.col("last").alias("ly"), F.col("before").alias("by"), F.col("size").alias("sy"), F.col("content").alias("y"), F.col("root").alias("ry"))
+    y = y.select("element", "largest", "step", F.col("last").alias("ly"), F.col("before").alias("by"), F.col("size").alias("sy"), F.col("content").alias("y"), F.col("root").alias("ry"), F.col("lead").alias("gy"))
     once = f"least((1 - bx) * sx, (1 - by) * sy) * {1 + least} >= {least} * (sx + sy) - 1e-6"
-    bound = f"rx != ry and (bx < by or bx = by and x > y) and case when sx is null or sy is null then (1 - bx) * (1 - by) >= {least - 1e-9} * (1 - bx * by) else {once} end"
+    bound = f"rx != ry and (gx = gy) is not true and (bx < by or bx = by and x > y) and case when sx is null or sy is null then (1 - bx) * (1 - by) >= {least - 1e-9} * (1 - bx * by) else {once} end"
     # contents with the same shingle before this one have met there
-    pairs = x.join(y, ["element", "largest", "step"]).where(f"{bound} and (lx != ly or lx = 0)")
+    pairs = x.join(y, ["element", "largest", "step"]).where(f"{bound} and (lx != ly or lx = 0)").select("x", "y", "rx", "ry")
+    pairs = pairs.unionByName(_beside_leaders(contents.where("lead is not null"), some, common, least))
     swap = F.col("x") < F.col("y")
     pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), F.when(swap, F.col("ry")).otherwise(F.col("rx")).alias("ra"), F.when(swap, F.col("rx")).otherwise(F.col("ry")).alias("rb"))
     return pairs.groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"))
@@ -324,17 +386,18 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     spark = docs.sparkSession
     with rows_a_batch(spark, TEXTS_A_BATCH):
         signed = cut(signatures(docs), "signatures")
-    contents = signed.where("content is not null").groupBy("content").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
+    contents = signed.where("content is not null").groupBy("content").agg(F.min("doc_id").alias("first_id"), F.first("plain").alias("plain"), F.first("bands").alias("bands"))
     contents = cut(contents, "contents")
-    members = contents.select("content", F.posexplode("bands").alias("band", "key")).select("content", F.xxhash64("band", "key").alias("bucket"))
+    members = contents.select("content", "plain", F.posexplode("bands").alias("band", "key")).select("content", "plain", F.xxhash64("band", "key").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(members.join(shared, "bucket"), "members")
     # the more contents share a content's buckets, the more central it is
     central = members.groupBy("content").agg(F.sum("n").alias("central"))
-    ranked = members.join(central, "content").select("bucket", F.struct("central", "content").alias("rank"))
+    ranked = members.join(central, "content").select("bucket", F.struct("central", "content", "plain").alias("rank"))
     leaders = cut(ranked.groupBy("bucket").agg(F.max("rank").alias("leader")), "leaders")
-    first = members.join(leaders, "bucket").groupBy("content").agg(F.max("leader").alias("leader")).select("content", F.col("leader.content").alias("b"))
-    first = cut(contents.select("content", "first_id").join(first, "content"), "first")
+    first = members.join(leaders, "bucket").groupBy("content").agg(F.max("leader").alias("leader")).select("content", F.col("leader.content").alias("b"), F.col("leader.plain").alias("led_plain"))
+    first = contents.select("content", "first_id", "plain").join(first, "content").withColumn("lead", F.when(F.col("plain") & F.col("led_plain"), F.col("b")))
+    first = cut(first.select("content", "first_id", "b", "lead"), "first")
     # the whole texts of the contents in any bucket with another; each content's text comes from the rows of its least doc_id
     wanted = first.select(F.col("first_id").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -352,8 +415,8 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     two = split.where("n = 2").select(F.col("c1.content").alias("a"), F.col("c0.content").alias("b"), F.col("c1.root").alias("ra"), F.col("c0.root").alias("rb"))
     larger = placed.join(split.where("n > 2").select("bucket"), "bucket").select("content", "root").distinct()
     with rows_a_batch(spark, PAIRS_A_BATCH):
-        larger = cut(larger.join(some, "content"), "larger")
-        fresh = two.unionByName(_meeting(larger, least)).groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"))
+        larger = cut(larger.join(first.select("content", "lead"), "content").join(some, "content"), "larger")
+        fresh = two.unionByName(_meeting(larger, some, least)).groupBy("a", "b").agg(F.first("ra").alias("ra"), F.first("rb").alias("rb"))
         more = cut(verified(fresh, some, least, ["ra", "rb"]), "links")
     drop(larger, some, members, leaders, first, split)
     # links between classes join classes: the components of those alone

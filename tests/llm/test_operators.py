@@ -544,6 +544,45 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {r.doc_id: r.class_id for r in found} == want
 
 
+def test_far_copies_do_not_meet_a_whole_class(spark, monkeypatch):
+    """300 copies of a text with one word changed, and 60 that are just too far from it (four words changed: 126 of 166). Two of
+    those share three of the four (131 of 161: 0.814)."""
+    rng, compared = random.Random(6), []
+    base, rows, far = [f"w{i}" for i in range(150)], [], []
+    for i in range(300):
+        words = list(base)
+        words[rng.randrange(5, 145)] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    for i in range(60):
+        places = sorted(rng.sample(range(1, 15), 4))
+        words = list(base)
+        for k, place in enumerate(places):
+            words[place * 10] = f"f{i}_{k}"
+        far.append(words)
+        rows.append((1000 + i, " ".join(words)))
+    twin = list(far[0])
+    changed = [j for j in range(150) if twin[j] != base[j]]
+    twin[changed[0]] = "t0"
+    rows.append((2000, " ".join(twin)))
+    plain = near_dedup.verified
+
+    def counted(pairs, contents, least, more=None):
+        compared.append(pairs.count())
+        return plain(pairs, contents, least, more)
+
+    monkeypatch.setattr(near_dedup, "verified", counted)
+    found = near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets, root = [set(shingle_counts(t)) for _, t in rows], list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    assert dict(found) == {d: rows[root[i]][0] for i, (d, _) in enumerate(rows)}
+    assert dict(found)[2000] == 1000
+    assert sum(compared) < 15 * len(rows)
+
+
 def test_one_of_each_goes_by_row(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, c), (None, "only this"), (None, "only this"), (8, None), (8, None), (9, " ")]
