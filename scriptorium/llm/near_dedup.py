@@ -38,7 +38,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,12 +154,15 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SIGNATURE)
 
 
-def contents_of(docs: DataFrame) -> DataFrame:
-    """(content, elements, counts) of docs (text): shingle hashes, sorted, as bytes; no counts stand for ones."""
+def contents_of(docs: DataFrame, sieve) -> DataFrame:
+    """(content, elements, counts) of those docs (doc_id, text) that the sieve holds: shingle hashes, sorted, as bytes; no
+    counts stand for ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, own in _stretches(batch, 0):
+            bit = batch.column(0).to_numpy()
+            held = sieve.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)
+            for _, own in _stretches(batch.filter(pa.array(held.astype(bool))), 1):
                 owner, element, count, content = shingles(own)
                 edges = np.searchsorted(owner, np.arange(len(own) + 1))
                 count = count.astype(np.uint32)
@@ -169,7 +171,7 @@ def contents_of(docs: DataFrame) -> DataFrame:
                     ["content", "elements", "counts"],
                 )
 
-    return docs.select("text").mapInArrow(run, "content binary, elements binary, counts binary")
+    return docs.select(_sieve_bit(F.col("doc_id").cast("long")), "text").mapInArrow(run, "content binary, elements binary, counts binary")
 
 
 def _multiset(elements: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -220,21 +222,14 @@ def _sieve_bit(doc_id: Column) -> Column:
 
 
 def _sieve(wanted: DataFrame):
-    """A filter of bits that hold every wanted doc_id (and some others): 8 MB at most, however many ids there are. It keeps
-    the texts of other documents out of the shuffle of the join that follows."""
+    """A broadcast of bits that hold every wanted doc_id (and some others): 8 MB at most, however many ids there are. It keeps
+    the shingles of other documents out of the shuffle that follows."""
     bit = _sieve_bit(F.col("doc_id"))
     words = wanted.select(F.floor(bit / 64).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {SIEVE_BITS}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     rows = words.toPandas()
     table = np.zeros(SIEVE_BITS // 64, np.int64)
     table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    shared = wanted.sparkSession.sparkContext.broadcast(table.view(np.uint64))
-
-    @F.pandas_udf("boolean")
-    def held(bit: pd.Series) -> pd.Series:
-        at = bit.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
-
-    return held
+    return wanted.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
 
 def _slot(elements: np.ndarray) -> np.ndarray:
@@ -400,10 +395,8 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     first = cut(first.select("content", "first_id", "b", "lead"), "first")
     # the whole texts of the contents in any bucket with another; each content's text comes from the rows of its least doc_id
     wanted = first.select(F.col("first_id").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.where(_sieve(wanted)(_sieve_bit(F.col("doc_id"))))
     with rows_a_batch(spark, TEXTS_A_BATCH):
-        some = contents_of(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text"))
+        some = contents_of(docs, _sieve(wanted))
         some = cut(some.groupBy("content").agg(F.first("elements").alias("elements"), F.first("counts").alias("counts")), "shingles")
     # first each content meets one leader: that joins most of what belongs together, a pair a content
     with rows_a_batch(spark, PAIRS_A_BATCH):

@@ -583,6 +583,23 @@ def test_far_copies_do_not_meet_a_whole_class(spark, monkeypatch):
     assert sum(compared) < 15 * len(rows)
 
 
+def test_no_stage_has_two_kinds_of_python_workers(spark, monkeypatch):
+    """Each kind holds memory of its own in an executor, beside the other's."""
+    plans, plain = [], near_dedup.cut
+
+    def planned(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return plain(df, name)
+
+    monkeypatch.setattr(near_dedup, "cut", planned)
+    words = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, words), (2, words + " x"), (3, "something else"), (None, words + " y"), (None, None)]
+    found = near_dedup.near_duplicate_classes(edges(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in found), key=str) == sorted([(1, 1), (2, 1), (3, 3), (None, 1), (None, None)], key=str)
+    assert {"signatures", "shingles"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if "MapInArrow" in plan and "ArrowEvalPython" in plan]
+
+
 def test_one_of_each_goes_by_row(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, c), (None, "only this"), (None, "only this"), (8, None), (8, None), (9, " ")]
