@@ -682,6 +682,13 @@ def test_one_step_is_the_plain_gradient_step():
     assert np.allclose(table, want, atol=1e-4)
 
 
+def test_chosen_columns_are_those_of_the_softmax():
+    rng = np.random.default_rng(3)
+    table, rows, bias = rng.normal(size=(64, 32)).astype(np.float32), rng.integers(0, 64, (1300, 5)), rng.normal(size=32).astype(np.float32)
+    chosen = rng.integers(0, 32, 1300)
+    assert (lm.Model._probabilities(table, rows, bias, chosen) == lm.Model._probabilities(table, rows, bias)[np.arange(1300), chosen]).all()
+
+
 def test_the_model_does_not_depend_on_the_layout(spark, monkeypatch):
     monkeypatch.setattr(lm, "TOKENS_A_LEARNER", 20_000)
     docs, scores = table(spark, "documents").select("doc_id", "text"), []
