@@ -1,12 +1,16 @@
 """What keeps the work of a query in step with its input, on tables small enough for a test."""
 
-from collections import defaultdict
+import math
+import random
+from collections import Counter, defaultdict
 
 import pytest
 
 from scriptorium import queries
 from scriptorium.functions.text import Analyzer
+from scriptorium.operators import expand
 from scriptorium.operators.index import postings_of, terms_of
+from scriptorium.operators.replay import frequent_ngrams
 from tests.conftest import SF
 
 ROWS = [(3, "The cat the Cat"), (1, "cat"), (3, "a THE the"), (None, "cat a"), (None, "Cat"), (2, None), (4, ""), (5, "dog-The_x dog"), (-7, "Dog cat")]
@@ -78,3 +82,14 @@ def test_suggestions_do_not_build_postings(spark, monkeypatch):
     assert queries.QUERIES["suggest_highlight"](spark, SF).count() > 0
     (held,) = queries._held.values()
     assert "terms" in vars(held) and "postings" not in vars(held)
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_top_terms_sort_no_postings_by_document(spark, monkeypatch, sent):
+    rows = [("a", 1, 2), ("b", 1, 1), ("a", 2, 5), ("7", 1, 9), ("c", 2, 1), ("b", None, 4)]
+    postings = spark.createDataFrame(rows, "term string, doc_id long, tf long")
+    ids = spark.createDataFrame([(1,), (1,), (None,), (9,)], "doc_id long")
+    monkeypatch.setattr(expand, "MOST_IDS_SENT", sent)
+    found = expand.top_terms(postings, ids, 4, 10)
+    assert [(r.term, r.score) for r in found.collect()] == [("a", round(2 * math.log10(4 / 2), 6)), ("b", round(math.log10(4 / 2), 6))]
+    assert "SortMergeJoin" not in plan(found)
