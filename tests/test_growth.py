@@ -93,3 +93,16 @@ def test_top_terms_sort_no_postings_by_document(spark, monkeypatch, sent):
     found = expand.top_terms(postings, ids, 4, 10)
     assert [(r.term, r.score) for r in found.collect()] == [("a", round(2 * math.log10(4 / 2), 6)), ("b", round(math.log10(4 / 2), 6))]
     assert "SortMergeJoin" not in plan(found)
+
+
+def test_ngrams_are_added_up_once(spark):
+    docs = queries.table(spark, SF, "documents")
+    assert "Aggregate" not in plan(queries.QUERIES["trigrams"](spark, SF)).rpartition("Exchange")[2]
+    # so many different words that the numbers of five don't fit into 64 bits, some n-grams in several documents
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefgh", k=3) + ["".join(rng.choices("klmnopqrst", k=6)) for _ in range(40)] + "a b c d e f".split() * (i % 3)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", "a 1 b"])], "doc_id long, text string")
+    want = Counter(tuple(w[i : i + 5]) for w in map(str.split, texts) for i in range(len(w) - 4))
+    found = frequent_ngrams(docs, "text", 5, 2).collect()
+    assert {r.ngram: r["count"] for r in found} == {" ".join(g): c for g, c in want.items() if c >= 2}
+    assert len(found) > 5
