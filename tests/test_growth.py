@@ -106,3 +106,23 @@ def test_ngrams_are_added_up_once(spark):
     found = frequent_ngrams(docs, "text", 5, 2).collect()
     assert {r.ngram: r["count"] for r in found} == {" ".join(g): c for g, c in want.items() if c >= 2}
     assert len(found) > 5
+
+
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_expansions_order_only_ties(spark, most):
+    rng = random.Random(7)
+    rows = {(rng.choice("abcdefghijkl") * rng.choice((1, 1, 2)), rng.randint(1, 25)): rng.randint(1, 3) for _ in range(250)}
+    postings = spark.createDataFrame([(*k, tf) for k, tf in rows.items()] + [("only", 1, 9), ("x1", 1, 1), ("x1", 2, 1)], "term string, doc_id long, tf long")
+    term_docs, doc_terms = expand.expansions(postings, 25, most, 2)
+    by_term = defaultdict(list)
+    for (term, doc), tf in rows.items():
+        by_term[term].append((-tf, doc))
+    want = {(t, d) for t, x in by_term.items() if len(x) > 1 for _, d in sorted(x)[:most]}
+    found = [tuple(r) for r in term_docs.collect()]
+    assert len(found) == len(want) and set(found) == want
+    scores = {(r.doc_id, r.term): r.mi for r in doc_terms.collect()}
+    assert set(Counter(d for d, _ in scores).items()) == {(d, min(2, n)) for d, n in Counter(d for _, d in want).items()}
+    assert all((t, d) in want for d, t in scores)
+    # no window puts a term's postings in order of tf
+    assert not any("tf#" in x and "doc_id" in x.rpartition("[")[2] for x in plan(doc_terms).splitlines() if "Window" in x)
+    assert "SortMergeJoin" not in plan(term_docs)
