@@ -11,6 +11,7 @@ from scriptorium.functions.text import Analyzer
 from scriptorium.operators import expand
 from scriptorium.operators.index import postings_of, terms_of
 from scriptorium.operators.replay import frequent_ngrams
+from scriptorium.sources.files import dealt
 from tests.conftest import SF
 
 ROWS = [(3, "The cat the Cat"), (1, "cat"), (3, "a THE the"), (None, "cat a"), (None, "Cat"), (2, None), (4, ""), (5, "dog-The_x dog"), (-7, "Dog cat")]
@@ -126,3 +127,10 @@ def test_expansions_order_only_ties(spark, most):
     # no window puts a term's postings in order of tf
     assert not any("tf#" in x and "doc_id" in x.rpartition("[")[2] for x in plan(doc_terms).splitlines() if "Window" in x)
     assert "SortMergeJoin" not in plan(term_docs)
+
+
+@pytest.mark.parametrize("query", ["page_metadata", "html_metadata"])
+def test_pages_of_a_small_file_are_parsed_by_all_cores(spark, query):
+    rows = queries.QUERIES[query](spark, SF)
+    assert rows.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert dealt(rows) is rows
