@@ -127,6 +127,8 @@ def test_expansions_order_only_ties(spark, most):
     # no window puts a term's postings in order of tf
     assert not any("tf#" in x and "doc_id" in x.rpartition("[")[2] for x in plan(doc_terms).splitlines() if "Window" in x)
     assert "SortMergeJoin" not in plan(term_docs)
+    # rows are dealt out by term to tasks that are not put together again
+    assert "REPARTITION_BY_NUM" in plan(term_docs)
 
 
 @pytest.mark.parametrize("query", ["page_metadata", "html_metadata"])
